@@ -46,17 +46,30 @@ class TwoState:
     def alpha(self) -> float:
         return 1 - self.beta
 
+    @property
+    def band(self) -> tuple[float, float]:
+        """Steps that count as moving at the known rate."""
+        return self.steepness * (1 - self.tolerance), self.steepness * (1 + self.tolerance)
+
+    @property
+    def still(self) -> float:
+        """Largest step that counts as standing still."""
+        return self.tolerance * self.steepness
+
+    def errors_at_rest(self) -> tuple[float, float]:
+        """Static and moving error of a step of size 0."""
+        low, high = self.band
+        return max(-self.still, 0.0) ** 2, max(low, -high, 0.0) ** 2
+
     def moving_error(self, d: Column) -> Column:
         """Squared distance of an absolute difference to the rate band."""
-        low, high = self.steepness * (1 - self.tolerance), self.steepness * (1 + self.tolerance)
-        off = band_deviation(d, F.lit(float(low)), F.lit(float(high)))
-        return off * off
+        low, high = self.band
+        return F.pow(band_deviation(d, F.lit(float(low)), F.lit(float(high))), F.lit(2.0))
 
     def static_error(self, d: Column) -> Column:
         """Squared distance of an absolute difference to standing still."""
-        bound = F.lit(float(self.tolerance * self.steepness))
-        off = F.when(d.isNotNull(), F.greatest(d - bound, F.lit(0.0)))
-        return off * off
+        off = F.when(d.isNotNull(), F.greatest(d - F.lit(float(self.still)), F.lit(0.0)))
+        return F.pow(off, F.lit(2.0))
 
     def combine(self, mse: Column, tgds: Column) -> Column:
         weight = (1 - self.theta) if self.normalized else 1.0

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 def series_number(path: Column) -> Column:
     """Number in the last ``_<number>`` (or ``=<number>``) of a path, e.g. ``sample_12.csv`` or ``sample_id=12/part-0.csv``."""
-    return F.regexp_extract(path, r"^.*[_=](\d+)(?:_short)?(?:\.csv|/[^/]*)$", 1).cast("bigint")
+    return F.regexp_extract(path, r"^.*[_=](\d+)(?:_short)?(?:\.csv|/[^/]*)$", 1).try_cast("bigint")
 
 
 def path_tail(path: Column, skip: int = 1) -> Column:
     """Folder of a file without its first ``skip`` parts, with a closing slash."""
     parts = F.split(path, "/")
-    return F.concat(F.array_join(F.slice(parts, skip + 1, F.size(parts) - skip - 1), "/"), F.lit("/"))
+    inner = F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip - 1, F.lit(0)))
+    return F.concat(F.array_join(inner, "/"), F.lit("/"))
 
 
 def parse_duration(text: Column) -> Column:

@@ -18,33 +18,39 @@ BATCH_ROWS = 128
 ID_BLOCK = 1 << 16
 
 
-def series_offsets(df: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
+def series_offsets(sizes: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
     """Per series, what to add to a tick to get the row number over all series in id order.
 
-    Ids are integers; the lengths are summed block by block of ids, so no task sees all series.
+    ``sizes`` has ``length`` and ``first_tick`` per series. Ids are integers; the lengths are summed block by block of
+    ids, so no task sees all series.
     """
     (key,) = layout.keys
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(layout.tick).alias("_first"))
     by_id = Layout(keys=(), tick=key, chunk=ID_BLOCK)
-    summed = running(sizes, by_id, {"_before": ("sum", F.col("_n"))}, exclusive=True)
-    return summed.select(key, (F.coalesce("_before", F.lit(0)) - F.col("_first")).cast("bigint").alias("offset"))
+    summed = running(sizes, by_id, {"_before": ("sum", F.col("length"))}, exclusive=True)
+    return summed.select(key, (F.coalesce("_before", F.lit(0)) - F.col("first_tick")).cast("bigint").alias("offset"))
 
 
 def batch_blocks(
-    df: DataFrame, batch_size: int = BATCH_ROWS, boundary: str = "batch", layout: Layout = SIGNALS
+    df: DataFrame,
+    batch_size: int = BATCH_ROWS,
+    boundary: str = "batch",
+    layout: Layout = SIGNALS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``row_no`` and ``batch_no``: consecutive blocks of ``batch_size`` rows in (series, tick) order.
 
     ``boundary="batch"`` runs the blocks across series, as mini-batches of concatenated series do. ``boundary="sample"``
     starts each series on a new block; ``row_no`` is then the tick and ``batch_no`` counts within the series.
-    Ticks are dense.
+    Ticks are dense. ``sizes`` (``length`` and ``first_tick`` of each series) saves a pass over ``df``.
     """
     if boundary == "sample":
         row = F.col(layout.tick)
         placed = df
     elif boundary == "batch":
+        if sizes is None:
+            sizes = df.groupBy(*layout.keys).agg(F.count("*").alias("length"), F.min(layout.tick).alias("first_tick"))
         row = F.col("offset") + F.col(layout.tick)
-        placed = df.join(series_offsets(df, layout), [*layout.keys])
+        placed = df.join(series_offsets(sizes, layout), [*layout.keys])
     else:
         raise ValueError(f"boundary must be 'batch' or 'sample', not {boundary!r}")
     return (
@@ -109,44 +115,40 @@ def tgds_metric(
 def tgds_sweep(df: DataFrame, rules: Iterable[TwoState], batch: tuple[str, ...] = ("batch_no",)) -> DataFrame:
     """Loss over all batches, weighted by their rows, for many parameter settings from one pass over the steps.
 
-    Only (steepness, tolerance) enter row by row: each distinct pair is two sums of one aggregation. The ratio enters
-    per batch and theta after the mean over batches. Rows out: one per distinct setting.
+    Only (steepness, tolerance) enter row by row: each distinct pair is two sums of one aggregation, so the rows are not
+    multiplied. The other parameters enter per batch, from a table of the given rules. One row out per distinct rule.
     """
     rules = list(dict.fromkeys(rules))
     shapes = list(dict.fromkeys((r.steepness, r.tolerance) for r in rules))
-    mixes = list(dict.fromkeys((r.steepness, r.tolerance, r.ratio) for r in rules))
-    zero, error = F.lit(0.0), F.col("y_true") - F.col("y_pred")
-    sums = [F.count("*").alias("n"), F.avg(error * error).alias("mse")]
-    for i, (steepness, tolerance) in enumerate(shapes):
-        shape = TwoState(steepness, tolerance)
-        sums.append(_over_steps(shape.static_error(F.col("d")), shape.static_error(zero), F.avg).alias(f"static_{i}"))
-        sums.append(_over_steps(shape.moving_error(F.col("d")), shape.moving_error(zero), F.avg).alias(f"trans_{i}"))
-    per_batch = df.groupBy(*batch).agg(*sums)
-
-    def mean(per_batch_value: Column) -> Column:
-        return F.sum(per_batch_value * F.col("n")) / F.sum("n")
-
-    means = [mean(F.col("mse")).alias("mse"), F.count("*").alias("batches")]
-    for j, (steepness, tolerance, ratio) in enumerate(mixes):
-        i, mix = shapes.index((steepness, tolerance)), TwoState(steepness, tolerance, ratio=ratio)
-        tgds = F.least(F.lit(mix.alpha) * F.col(f"static_{i}"), F.lit(mix.beta) * F.col(f"trans_{i}"))
-        means.append(mean(tgds).alias(f"tgds_{j}"))
-    overall = per_batch.agg(*means)
-
-    settings = []
-    for rule in rules:
-        tgds = F.col(f"tgds_{mixes.index((rule.steepness, rule.tolerance, rule.ratio))}")
-        settings.append(
-            F.struct(
-                F.lit(float(rule.theta)).alias("theta"),
-                F.lit(float(rule.ratio)).alias("tgds_ratio"),
-                F.lit(float(rule.tolerance)).alias("loss_tolerance"),
-                F.lit(float(rule.steepness)).alias("steepness_scaled"),
-                F.lit(rule.normalized).alias("normalized"),
-                F.col("batches"),
-                F.col("mse"),
-                tgds.alias("tgds"),
-                rule.combine(F.col("mse"), tgds).alias("loss"),
-            )
-        )
-    return overall.select(F.inline(F.array(*settings)))
+    sums, means = [], []
+    for i, shape in enumerate(TwoState(s, t) for s, t in shapes):
+        low, high, still = (f"{v!r}D" for v in (*shape.band, shape.still))
+        sums.append(F.expr(f"sum(pow(if(d is null, null, greatest(d - {still}, 0D)), 2))").alias(f"s_{i}"))
+        sums.append(F.expr(f"sum(pow(if(d is null, null, greatest({low} - d, d - {high}, 0D)), 2))").alias(f"m_{i}"))
+        # A batch of one row has one step of size 0.
+        static_0, moving_0 = (f"{v!r}D" for v in shape.errors_at_rest())
+        steps = "greatest(n - 1, 1)"
+        means.append(f"{i}, if(n = 1, {static_0}, s_{i} / {steps}), if(n = 1, {moving_0}, m_{i} / {steps})")
+    per_batch = df.groupBy(*batch).agg(
+        F.count("*").alias("n"), F.expr("avg((y_true - y_pred) * (y_true - y_pred))").alias("mse"), *sums
+    )
+    by_shape = per_batch.select("n", "mse", F.expr(f"stack({len(shapes)}, {', '.join(means)}) as (shape, static, trans)"))
+
+    values = ", ".join(
+        f"({i}, {shapes.index((r.steepness, r.tolerance))}, {r.theta!r}D, {r.ratio!r}D, {r.tolerance!r}D, "
+        f"{r.steepness!r}D, {str(r.normalized).lower()}, {r.alpha!r}D, {r.beta!r}D)"
+        for i, r in enumerate(rules)
+    )
+    names = "rule, shape, theta, tgds_ratio, loss_tolerance, steepness_scaled, normalized, alpha, beta"
+    table = df.sparkSession.sql(f"select * from values {values} as t({names})")
+    keys = ["rule", "theta", "tgds_ratio", "loss_tolerance", "steepness_scaled", "normalized"]
+    scored = by_shape.join(F.broadcast(table), "shape").withColumn(
+        "tgds", F.least(F.col("alpha") * F.col("static"), F.col("beta") * F.col("trans"))
+    )
+    weighted = scored.groupBy(*keys).agg(
+        F.count("*").alias("batches"),
+        (F.sum(F.col("n") * F.col("mse")) / F.sum("n")).alias("mse"),
+        (F.sum(F.col("n") * F.col("tgds")) / F.sum("n")).alias("tgds"),
+    )
+    plain = F.when(F.col("normalized"), 1 - F.col("theta")).otherwise(1.0)
+    return weighted.withColumn("loss", plain * F.col("mse") + F.col("theta") * F.col("tgds")).drop("rule")

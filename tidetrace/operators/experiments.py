@@ -48,14 +48,16 @@ def grid_settings() -> list[dict]:
 
 def experiment_grid(spark: SparkSession) -> DataFrame:
     """All settings of all runs: 330 rows."""
-    settings = [
-        F.struct(*[F.lit(v).alias(k) for k, v in {"setting_no": i, **row}.items()])
-        for i, row in enumerate(grid_settings())
-    ]
-    runs = spark.range(RUNS).select(F.col("id").cast("int").alias("run"))
-    return runs.select("run", F.inline(F.array(*settings))).withColumn(
-        "config_id", F.col("run") * len(settings) + F.col("setting_no")
+    settings = grid_settings()
+    rows = ", ".join(
+        f"({i}, '{r['ex_name']}', {r['train_size']}, '{r['loss']}', {r['theta']!r}D, {r['tgds_ratio']!r}D, "
+        f"{r['loss_tolerance']!r}D, {r['steepness']!r}D)"
+        for i, r in enumerate(settings)
     )
+    names = "setting_no, ex_name, train_size, loss, theta, tgds_ratio, loss_tolerance, steepness"
+    table = spark.sql(f"select * from values {rows} as t({names})")
+    runs = table.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    return runs.withColumn("config_id", F.col("run") * len(settings) + F.col("setting_no"))
 
 
 def grid_rules(lo: float, hi: float, mode: str = "affine") -> list[TwoState]:

@@ -19,7 +19,8 @@ def best_epoch(history: DataFrame, run: str = "run_id") -> DataFrame:
 
 def _improvements(history: DataFrame, layout: Layout) -> DataFrame:
     seen = running(history, layout, {"_best": ("min", F.col("val_loss"))}, exclusive=True)
-    better = F.col("val_loss") < F.coalesce("_best", F.lit(float("inf")))
+    # NaN sorts above infinity, so a best of NaN counts as none.
+    better = F.col("val_loss") < F.least(F.coalesce("_best", F.lit(float("inf"))), F.lit(float("inf")))
     return seen.withColumn("improved", better).drop("_best")
 
 

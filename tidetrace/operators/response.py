@@ -68,8 +68,8 @@ def expected_levels(
     pieces are folded independently, reading sorted rows one Arrow batch at a time.
     """
     targets = segments_of(points, lengths, layout).withColumn("target", static_curve(F.col(column)))
-    extremes = targets.agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
-    lo, hi = extremes.select("lo").scalar(), extremes.select("hi").scalar()
+    extremes = targets.agg(F.struct(F.min("target").alias("lo"), F.max("target").alias("hi"))).scalar()
+    lo, hi = extremes["lo"], extremes["hi"]
     tick = F.col(layout.tick)
     steps = (
         targets.withColumn("reach", F.lit(float(steepness)) * (F.col("end_tick") - tick - 1))
@@ -80,10 +80,13 @@ def expected_levels(
     )
     chained = running(steps, layout, {"_anchor": ("max", F.when(F.col("_anchored"), tick))}, exclusive=True)
     # The piece a row is folded in starts with the last anchored segment before it, which is a copy here.
-    own = chained.withColumn("_group", F.coalesce("_anchor", tick)).withColumn("_copy", F.lit(False))
-    copies = chained.where("_anchored").withColumn("_group", tick).withColumn("_copy", F.lit(True))
+    own = F.when(~F.col("_first"), F.struct(F.col("_anchor").alias("_group"), F.lit(False).alias("_copy")))
+    copy = F.when(F.col("_anchored"), F.struct(tick.alias("_group"), F.lit(True).alias("_copy")))
     rows = (
-        own.where(~F.col("_first")).unionByName(copies)
+        chained.select(
+            *layout.keys, layout.tick, "end_tick", column, "target", "reach", "_first",
+            F.inline(F.array_compact(F.array(own, copy))),
+        )
         .repartition(*layout.keys, "_group")
         .sortWithinPartitions(*layout.keys, "_group", layout.tick)
     )

@@ -83,10 +83,19 @@ def poisson_cdf(terms: int = 10) -> list[float]:
     return out
 
 
-def unit_hash(*parts: Column) -> Column:
-    """A number in [0, 1) from the MD5 of the parts joined by dashes; the same in every engine and run."""
-    text = F.concat_ws("-", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+DRAWS_PER_HASH = 4
+
+
+def hash_draws(seed: int, block: str, row_id: str) -> list[Column]:
+    """``DRAWS_PER_HASH`` numbers in [0, 2**32) from the MD5 of ``seed-block-id``; the same in every engine and run."""
+    digest = F.expr(f"md5(concat_ws('-', '{seed}', cast({block} as string), cast({row_id} as string)))")
+    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(DRAWS_PER_HASH)]
+
+
+def poisson_count(draw: str) -> Column:
+    """Poisson(1) count of a 32-bit draw."""
+    steps = " ".join(f"when {draw} < {edge * (1 << 32)!r}D then {k}" for k, edge in enumerate(poisson_cdf()))
+    return F.expr(f"case {steps} else {len(poisson_cdf())} end")
 
 
 def bootstrap_ci(
@@ -101,15 +110,21 @@ def bootstrap_ci(
     """Mean and bootstrap interval of the mean per group.
 
     Each row draws a Poisson(1) count in each replicate instead of the group drawing rows, so replicates are plain
-    weighted sums that combine before the shuffle and no group is brought together.
+    weighted sums that combine before the shuffle and no group is brought together. ``reps`` is rounded up to a multiple
+    of the draws one hash gives.
     """
-    u = unit_hash(F.lit(seed), F.col("rep"), F.col(row_id))
-    weight = sum((F.when(u >= edge, 1).otherwise(0) for edge in poisson_cdf()), F.lit(0))
-    present = df.where(F.col(value).isNotNull())
-    drawn = present.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_w", weight)
-    means = drawn.groupBy(*keys, "rep").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("rep_mean")
+    blocks = -(-reps // DRAWS_PER_HASH)
+    draws = [f"_u{i}" for i in range(DRAWS_PER_HASH)]
+    present = df.where(F.col(value).isNotNull()).select(*keys, value, row_id)
+    blocked = present.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hashed = blocked.select(
+        *keys, "_block", value, *[u.alias(n) for n, u in zip(draws, hash_draws(seed, "_block", row_id))]
+    )
+    weighted = hashed.withColumns({n: poisson_count(n) for n in draws})
+    sums = weighted.groupBy(*keys, "_block").agg(
+        F.array(*[F.try_divide(F.sum(F.col(n) * F.col(value)), F.sum(n)) for n in draws]).alias("_means")
     )
+    means = sums.select(*keys, F.explode("_means").alias("rep_mean"))
     tail = (1 - level) / 2
     interval = means.groupBy(*keys).agg(
         F.percentile("rep_mean", F.lit(tail)).alias("ci_low"), F.percentile("rep_mean", F.lit(1 - tail)).alias("ci_high")

@@ -51,9 +51,14 @@ def sample_train_runs(pool: DataFrame, n: int, seeds: Iterable[int], key: str =
 
 
 def tail_split(
-    df: DataFrame, val_frac: float = 0.1, batch_size: int = BATCH_ROWS, layout: Layout = SIGNALS
+    df: DataFrame,
+    val_frac: float = 0.1,
+    batch_size: int = BATCH_ROWS,
+    layout: Layout = SIGNALS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: the last ``val_frac`` of the rows in (series, tick) order is ``validation``."""
-    rows = batch_blocks(df, batch_size, layout=layout)
-    first_val = df.agg(F.floor(F.count("*") * (1 - val_frac))).scalar()
+    rows = batch_blocks(df, batch_size, layout=layout, sizes=sizes)
+    total = F.count("*") if sizes is None else F.sum("length")
+    first_val = (df if sizes is None else sizes).agg(F.floor(total * (1 - val_frac))).scalar()
     return rows.withColumn("split", F.when(F.col("row_no") < first_val, F.lit("train")).otherwise(F.lit("validation")))

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import takewhile
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 CHUNK_TICKS = 1 << 22
 HOT_GROUPS = 100_000
+CUTS = 3
 
 _CHUNK = "_chunk"
 
@@ -154,22 +157,19 @@ def ordinals(
     """0-based position of every row in its ``keys`` group by ``order`` (a total order; numbers or times first).
 
     Groups above ``chunk`` rows are cut into ranges of the order columns. Each range is numbered alone, and the number of
-    rows in the earlier ranges of the group is added. The cut is refined once per further level, so values that crowd
-    into one range of the first cut are spread by the next. What is broadcast has one row per oversized group or per
-    range of one; the threshold keeps that near ``HOT_GROUPS`` whatever the size of the table.
+    rows in the earlier ranges of the group is added. Ranges that are still too large, because values crowd in them, are
+    cut again, ``CUTS`` times in all. What is broadcast has one row per oversized group or per range of one; the
+    threshold keeps that near ``HOT_GROUPS`` whatever the size of the table.
     """
     longest, total, _ = size or measure(df, keys)
     if longest <= chunk or dict(df.dtypes)[order[0]] not in _POSITION:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
 
     limit = max(chunk, total // HOT_GROUPS)
-    ranges: list[str] = []
+    ranges = [f"_r{level}" for level in range(CUTS)]
     cut = df
-    for level, column in enumerate((order[0], order[0], *order[1:])):
-        if dict(cut.dtypes)[column] not in _POSITION:
-            break
-        cut = _cut(cut, (*keys, *ranges), column, f"_r{level}", limit)
-        ranges.append(f"_r{level}")
+    for level, name in enumerate(ranges):
+        cut = _cut(cut, (*keys, *ranges[:level]), order, name, limit)
 
     hot = cut.where(F.greatest(*ranges) > 0).select(*keys).distinct()
     sizes = cut.groupBy(*keys, *ranges).count().join(F.broadcast(hot), [*keys], "left_semi")
@@ -183,6 +183,7 @@ def ordinals(
     )
 
 
+_FAR = 1e300
 _POSITION = {
     **{t: lambda c: c.cast("double") for t in ("tinyint", "smallint", "int", "bigint", "float", "double")},
     "timestamp": lambda c: F.unix_micros(c).cast("double"),
@@ -190,18 +191,39 @@ _POSITION = {
 }
 
 
-def _cut(df: DataFrame, keys: tuple[str, ...], column: str, out: str, limit: int) -> DataFrame:
-    """Number equal ranges of ``column`` within each group of more than ``limit`` rows; 0 in all other groups."""
-    position = _POSITION[dict(df.dtypes)[column]](F.col(column))
-    big = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .where((F.col("_n") > limit) & (F.col("_hi") > F.col("_lo")))
-    )
+def _position(df: DataFrame, column: str) -> Column:
+    """Place of a value on a line, in sort order: NULL first, NaN last."""
+    place = F.coalesce(_POSITION[dict(df.dtypes)[column]](F.col(column)), F.lit(-_FAR))
+    return F.greatest(F.least(F.nanvl(place, F.lit(_FAR)), F.lit(_FAR)), F.lit(-_FAR))
+
+
+def _cut(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], out: str, limit: int) -> DataFrame:
+    """Number equal ranges within each group of more than ``limit`` rows; 0 in all other groups.
+
+    The ranges are of the first order column that is not constant in the group. Only the leading columns that have a
+    position on a line are considered.
+    """
+    types = dict(df.dtypes)
+    usable = list(takewhile(lambda c: types[c] in _POSITION, order))
+    position = {c: _position(df, c) for c in usable}
+    stats = [F.count("*").alias("_n")]
+    for c in usable:
+        mixed = (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+        stats += [
+            F.coalesce(mixed, F.lit(False)).alias(f"_varies_{c}"),
+            F.min(position[c]).alias(f"_lo_{c}"),
+            F.max(position[c]).alias(f"_hi_{c}"),
+        ]
+    any_varies = reduce(Column.__or__, [F.col(f"_varies_{c}") for c in usable])
+    big = df.groupBy(*keys).agg(*stats).where((F.col("_n") > limit) & any_varies)
     parts = F.ceil(2 * F.col("_n") / limit)
-    place = F.floor((position - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
+    place = F.lit(0).cast("bigint")
+    for c in reversed(usable):
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        share = F.coalesce(F.try_divide(position[c] - lo, hi - lo), F.lit(0.0))
+        place = F.when(F.col(f"_varies_{c}"), F.floor(share * parts)).otherwise(place)
     return (
         df.join(F.broadcast(big), [*keys], "left")
-        .withColumn(out, F.coalesce(F.least(place, parts - 1), F.lit(0)).cast("bigint"))
-        .drop("_n", "_lo", "_hi")
+        .withColumn(out, F.when(F.col("_n").isNull(), 0).otherwise(F.least(place, parts - 1)).cast("bigint"))
+        .select(*df.columns, out)
     )

@@ -395,8 +395,8 @@ SELECT loss_function, n_train_samples, {r6('avg(test_rmse_mean)', 'mean')}, {r6(
     "bootstrap_ci": JOINED + f""",
 drawn AS (
   SELECT joined.*, rep,
-         CAST('0x' || substr(md5(concat_ws('-', '0', CAST(rep AS VARCHAR), CAST(folder AS VARCHAR))), 1, 8) AS BIGINT)
-           / {dbl(1 << 32)} AS u FROM joined, range(0, {q.REPS}) t(rep)),
+         CAST('0x' || substr(md5(concat_ws('-', '0', CAST(rep // 4 AS VARCHAR), CAST(folder AS VARCHAR))), 1 + 8 * (rep % 4), 8)
+              AS BIGINT) / {dbl(1 << 32)} AS u FROM joined, range(0, {q.REPS}) t(rep)),
 counted AS (SELECT *, {_POISSON} AS w FROM drawn),
 reps AS (
   SELECT loss_function, n_train_samples, rep,
@@ -405,7 +405,8 @@ bands AS (
   SELECT loss_function, n_train_samples, quantile_cont(rep_mean, {_TAIL!r}) AS ci_low,
          quantile_cont(rep_mean, {1 - _TAIL!r}) AS ci_high FROM reps GROUP BY ALL),
 means AS (SELECT loss_function, n_train_samples, avg(test_rmse_mean) AS mean FROM joined GROUP BY ALL)
-SELECT loss_function, n_train_samples, round(mean, 4) AS mean, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high
+SELECT loss_function, n_train_samples, round(mean + 1e-7, 4) AS mean, round(ci_low + 1e-7, 4) AS ci_low,
+       round(ci_high + 1e-7, 4) AS ci_high
 FROM means JOIN bands USING (loss_function, n_train_samples)""",
     "run_lists": RUNS + """
 SELECT sample_id, run_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(el_power AS VARCHAR), ',' ORDER BY time) AS items,

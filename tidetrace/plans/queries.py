@@ -57,21 +57,24 @@ def as_text(items: str | Column) -> Column:
 SIGNAL_COLUMNS = "time BIGINT, input_voltage DOUBLE, el_power DOUBLE"
 
 
-def _signal_files(spark: SparkSession, sf_dir: str) -> str:
+def _signal_files(spark: SparkSession, sf_dir: str, series_per_folder: int) -> str:
     rows, layout = views.signals(spark, sf_dir)
     path = scratch_path(spark, "signals")
-    files.write_signals(rows.select("sample_id", "time", "input_voltage", "el_power"), path, layout=layout)
+    files.write_signals(
+        rows.select("sample_id", "time", "input_voltage", "el_power"), path,
+        series_per_folder=series_per_folder, layout=layout,
+    )
     return path
 
 
 @query
 def scan_signals(spark, sf_dir):
-    return files.read_signals(spark, _signal_files(spark, sf_dir), SIGNAL_COLUMNS)
+    return files.read_signals(spark, _signal_files(spark, sf_dir, 1000), "sample_id BIGINT, " + SIGNAL_COLUMNS)
 
 
 @query
 def sample_id_from_path(spark, sf_dir):
-    rows = files.read_signals(spark, _signal_files(spark, sf_dir), SIGNAL_COLUMNS)
+    rows = files.read_signals(spark, _signal_files(spark, sf_dir, 1), SIGNAL_COLUMNS)
     return rows.groupBy("sample_id").agg(F.count("*").alias("n")).orderBy("sample_id")
 
 
@@ -325,13 +328,12 @@ def split_overlap(spark, sf_dir):
 def step_fill(spark, sf_dir):
     rows, layout = views.levels(spark, sf_dir)
     points = response.change_points(rows, "el_power", layout)
-    return response.step_fill(points, segments.sample_lengths(rows, layout), "el_power", layout)
+    return response.step_fill(points, views.lengths(spark, sf_dir), "el_power", layout)
 
 
 @query
 def tgds_sweep(spark, sf_dir):
-    rows, layout = views.scaled_predictions(spark, sf_dir)
-    steps = consistency.abs_differences(consistency.batch_blocks(rows, layout=layout))
+    steps = _steps(spark, sf_dir)
     lo, hi = views.OUTPUT_RANGE
     losses = consistency.tgds_sweep(steps, experiments.grid_rules(lo, hi))
     grid = experiments.with_rule_columns(experiments.experiment_grid(spark), lo, hi)
@@ -391,7 +393,8 @@ def bootstrap_ci(spark, sf_dir):
     out = scores.bootstrap_ci(
         _joined(spark, sf_dir), ("loss_function", "n_train_samples"), "test_rmse_mean", "folder", REPS, LEVEL
     )
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "ci_low", "ci_high")})
+    # Interpolated bounds often end in an exact 5; the nudge keeps the last bit of a sum from deciding the rounding.
+    return out.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("mean", "ci_low", "ci_high")})
 
 
 @query
@@ -411,7 +414,9 @@ def segment_stats(spark, sf_dir):
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, layout = views.scaled_predictions(spark, sf_dir)
-    return consistency.abs_differences(consistency.batch_blocks(rows, layout=layout))
+    return consistency.abs_differences(
+        consistency.batch_blocks(rows, layout=layout, sizes=views.tail_sizes(spark, sf_dir, 1))
+    )
 
 
 @query
@@ -489,7 +494,7 @@ def static_segments(spark, sf_dir):
 @query
 def batch_blocks(spark, sf_dir):
     rows, layout = views.signals(spark, sf_dir)
-    return consistency.batch_blocks(rows, layout=layout).select("sample_id", "time", "row_no", "batch_no")
+    return consistency.batch_blocks(rows, layout=layout, sizes=views.tail_sizes(spark, sf_dir, 0)).select("sample_id", "time", "row_no", "batch_no")
 
 
 @query
@@ -535,7 +540,8 @@ def sample_train(spark, sf_dir):
 @query
 def tail_split(spark, sf_dir):
     rows, layout = views.signals(spark, sf_dir)
-    return splits.tail_split(rows, VAL_FRAC, layout=layout).select("sample_id", "time", "row_no", "split")
+    sizes = views.tail_sizes(spark, sf_dir, 0)
+    return splits.tail_split(rows, VAL_FRAC, layout=layout, sizes=sizes).select("sample_id", "time", "row_no", "split")
 
 
 @query
@@ -547,9 +553,7 @@ def union_samples(spark, sf_dir):
 
 @query
 def experiment_grid(spark, sf_dir):
-    events = views.table(spark, sf_dir, "events")
-    lengths = events.groupBy(F.col("user_id").alias("sample_id")).agg(F.count("*").alias("length"))
-    pool = lengths.where(F.col("sample_id") % views.TEST_EVERY != 0)
+    pool = views.lengths(spark, sf_dir).where(F.col("sample_id") % views.TEST_EVERY != 0)
     draws = splits.sample_train_runs(pool, max(experiments.TRAIN_SIZES), SEEDS).join(pool, "sample_id")
     by_size = draws.withColumn(
         "train_size", F.explode(F.sequence(F.col("draw_no"), F.lit(max(experiments.TRAIN_SIZES))))
@@ -608,7 +612,7 @@ def resting_output(spark, sf_dir):
 def _response(spark: SparkSession, sf_dir: str):
     rows, layout = views.levels(spark, sf_dir)
     points = response.change_points(rows, "el_power", layout)
-    lengths = segments.sample_lengths(rows, layout)
+    lengths = views.lengths(spark, sf_dir)
     return rows, layout, response.expected_response(points, lengths, "el_power", RESPONSE_STEEPNESS, layout)
 
 
@@ -743,7 +747,8 @@ def predict_samples(spark, sf_dir):
 @query
 def fit_tgds_linear(spark, sf_dir):
     rows, names, layout = _model_rows(spark, sf_dir)
-    batches = consistency.batch_blocks(rows.where("split = 'train'"), layout=layout)
+    train = views.with_split(views.tail_sizes(spark, sf_dir, 1)).where("split = 'train'")
+    batches = consistency.batch_blocks(rows.where("split = 'train'"), layout=layout, sizes=train)
     model = models.fit_tgds_linear(batches, names[-1:], "el_power_t", GUIDED_RULE, FIT_STEPS)
     steps = [(h["epoch"], round(h["loss"], 6), round(h["mse"], 6), round(h["tgds"], 6)) for h in model.history]
     return spark.createDataFrame(steps, "epoch bigint, loss double, mse double, tgds double")

@@ -52,7 +52,7 @@ _LEADING = ("time", "input_voltage", "el_power", "th_power")
 
 
 def read_signals(spark: SparkSession, path: str, columns: str, sep: str = "|", glob: str | None = None) -> DataFrame:
-    """All series files below ``path`` as one table, with ``sample_id`` from the file name.
+    """All series files below ``path`` as one table, with ``sample_id`` from the path unless it is a column.
 
     ``columns`` is the DDL of the files' header. One scan reads every file; nothing is inferred.
     """
@@ -61,6 +61,8 @@ def read_signals(spark: SparkSession, path: str, columns: str, sep: str = "|", g
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.csv(path)
+    if "sample_id" in rows.columns:
+        return rows
     return rows.select(series_number(F.col("_metadata.file_path")).alias("sample_id"), "*")
 
 
@@ -78,11 +80,19 @@ def read_experiments(spark: SparkSession, paths_by_extra: dict[str, list[str]])
     return first.withColumn("time", F.col("time").cast("bigint"))
 
 
-def write_signals(df: DataFrame, path: str, sep: str = "|", layout: Layout = SIGNALS) -> None:
-    """One folder of CSV files per series. A series longer than a chunk is written by several tasks, a file per chunk."""
+def write_signals(df: DataFrame, path: str, sep: str = "|", series_per_folder: int = 1000, layout: Layout = SIGNALS) -> None:
+    """CSV files in one folder per ``series_per_folder`` ids.
+
+    With 1, each series has its own folder and its id is in the path only, as in a one-file-per-series collection; that
+    many small files suit few series. A series longer than a chunk is written by several tasks.
+    """
     (key,) = layout.keys
-    spread = df.withColumn("_chunk", layout.chunk_of()).repartition(key, "_chunk").drop("_chunk")
-    spread.write.partitionBy(key).option("sep", sep).option("header", True).mode("errorifexists").csv(path)
+    if series_per_folder == 1:
+        folder, rows = key, df
+    else:
+        folder, rows = "series_block", df.withColumn("series_block", F.floor(F.col(key) / series_per_folder))
+    spread = rows.withColumn("_chunk", layout.chunk_of()).repartition(key, "_chunk").drop("_chunk")
+    spread.write.partitionBy(folder).option("sep", sep).option("header", True).mode("errorifexists").csv(path)
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
