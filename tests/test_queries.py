@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
+from functools import partial
 
 import duckdb
 import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry_point
+from tidetrace.plans import views
 
 TABLES = "customer orders events".split()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -28,8 +31,7 @@ def text(value):
     return repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
-def test_query(spark, sql, name):
+def compare(spark, sql, name):
     df = entry_point.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     cursor = sql.execute(entry_point.oracle_sql()[name])
@@ -41,6 +43,27 @@ def test_query(spark, sql, name):
     assert sorted(tuple(text(r[c]) for c in columns) for r in df.collect()) == expected
 
 
+@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_query(spark, sql, name):
+    compare(spark, sql, name)
+
+
+CHUNKED = (
+    "align_xy", "batch_blocks", "checkpoint_epochs", "early_stop_epoch", "expected_response", "fit_tgds_linear",
+    "forward_diff", "lag_array", "lag_features", "response_residuals", "run_lists", "scan_signals", "segment_stats",
+    "static_segments", "step_fill", "tail_split", "tgds_loss_by_batch", "tgds_loss_by_sample", "tgds_metric", "value_runs",
+)
+
+
+@pytest.mark.parametrize("name", CHUNKED)
+def test_query_with_long_series(spark, sql, name, monkeypatch):
+    """The same rows when every series is longer than a chunk."""
+    monkeypatch.setattr(views, "SIGNALS", replace(views.SIGNALS, chunk=16))
+    monkeypatch.setattr(views, "EPOCHS", replace(views.EPOCHS, chunk=16))
+    monkeypatch.setattr(views, "ordinals", partial(views.ordinals, chunk=16))
+    compare(spark, sql, name)
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 15
 

@@ -27,7 +27,7 @@ def series_offsets(sizes: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
     (key,) = layout.keys
     by_id = Layout(keys=(), tick=key, chunk=ID_BLOCK)
     summed = running(sizes, by_id, {"_before": ("sum", F.col("length"))}, exclusive=True)
-    return summed.select(key, (F.coalesce("_before", F.lit(0)) - F.col("first_tick")).cast("bigint").alias("offset"))
+    return summed.withColumn("offset", (F.coalesce("_before", F.lit(0)) - F.col("first_tick")).cast("bigint"))
 
 
 def batch_blocks(
@@ -50,7 +50,7 @@ def batch_blocks(
         if sizes is None:
             sizes = df.groupBy(*layout.keys).agg(F.count("*").alias("length"), F.min(layout.tick).alias("first_tick"))
         row = F.col("offset") + F.col(layout.tick)
-        placed = df.join(series_offsets(sizes, layout), [*layout.keys])
+        placed = _place(df, series_offsets(sizes, layout), layout)
     else:
         raise ValueError(f"boundary must be 'batch' or 'sample', not {boundary!r}")
     return (
@@ -60,6 +60,16 @@ def batch_blocks(
     )
 
 
+def _place(df: DataFrame, offsets: DataFrame, layout: Layout) -> DataFrame:
+    """Join the offsets; a long series meets a copy of its offset in each of its chunks."""
+    if not layout.split:
+        return df.join(offsets.select(*layout.keys, "offset"), [*layout.keys])
+    last = F.col("first_tick") + F.col("length") - 1
+    chunks = F.sequence(*[F.floor(c / layout.chunk).cast("bigint") for c in (F.col("first_tick"), last)])
+    by_chunk = offsets.select(*layout.keys, "offset", F.explode(chunks).alias("_chunk"))
+    return df.withColumn("_chunk", layout.chunk_of()).join(by_chunk, [*layout.keys, "_chunk"])
+
+
 def abs_differences(
     df: DataFrame, column: str = "y_pred", batch: tuple[str, ...] = ("batch_no",), order: str = "row_no"
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidetrace.functions.physics import move_towards, static_curve
-from tidetrace.plans.layout import SIGNALS, Layout, next_tick, running, windowed
+from tidetrace.plans.layout import SIGNALS, Layout, next_tick, windowed
 
 PIECE_TICKS = 1 << 16
 
@@ -24,13 +25,13 @@ def change_points(df: DataFrame, column: str, layout: Layout = SIGNALS) -> DataF
 
 
 def segments_of(points: DataFrame, lengths: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
-    """Add ``end_tick`` (exclusive) to change points; the last one of a series lasts to its ``length``."""
-    following = next_tick(points, layout, "_next")
-    return (
-        following.join(lengths.select(*layout.keys, F.col("length").alias("_length")), [*layout.keys])
-        .withColumn("end_tick", F.coalesce("_next", "_length").cast("bigint"))
-        .drop("_next", "_length")
-    )
+    """Add ``end_tick`` (exclusive) to change points; the last one of a series lasts to its ``length``.
+
+    The lengths are added as closing points rather than joined, so the change points of a series need not meet in one task.
+    """
+    closing = lengths.select(*layout.keys, F.col("length").cast("bigint").alias(layout.tick), F.lit(True).alias("_closes"))
+    both = points.withColumn("_closes", F.lit(False)).unionByName(closing, allowMissingColumns=True)
+    return next_tick(both, layout, "end_tick").where(~F.col("_closes")).drop("_closes")
 
 
 def fill_segments(segments: DataFrame, start: str, value: Column, out: str, layout: Layout = SIGNALS) -> DataFrame:
@@ -58,62 +59,113 @@ def step_fill(points: DataFrame, lengths: DataFrame, column: str, layout: Layout
     return fill_segments(segments.withColumnRenamed(layout.tick, "_start"), "_start", F.col(column), column, layout)
 
 
-def expected_levels(
-    points: DataFrame, lengths: DataFrame, column: str, steepness: float, layout: Layout = SIGNALS
-) -> DataFrame:
-    """Per segment of the input: resting output (``target``) and output at its first tick (``start_level``).
+def _carry(rows: DataFrame, group: tuple[str, ...], tick: str, opens: str) -> DataFrame:
+    """Add ``start_level``: walk through each group in tick order from the level in ``opens`` of its first row.
 
-    Each segment starts where the one before ended, so levels follow one another through a series. A segment long enough
-    to cross the whole range of targets ends on its own target whatever came before; series are cut there and the
-    pieces are folded independently, reading sorted rows one Arrow batch at a time.
+    Rows stream through a task one Arrow batch at a time; only the level is carried.
     """
-    targets = segments_of(points, lengths, layout).withColumn("target", static_curve(F.col(column)))
-    extremes = targets.agg(F.struct(F.min("target").alias("lo"), F.max("target").alias("hi"))).scalar()
-    lo, hi = extremes["lo"], extremes["hi"]
-    tick = F.col(layout.tick)
-    steps = (
-        targets.withColumn("reach", F.lit(float(steepness)) * (F.col("end_tick") - tick - 1))
-        .withColumn("_first", tick == 0)
-        .withColumn(
-            "_anchored", F.col("_first") | (F.col("reach") >= F.greatest(hi - F.col("target"), F.col("target") - lo))
-        )
-    )
-    chained = running(steps, layout, {"_anchor": ("max", F.when(F.col("_anchored"), tick))}, exclusive=True)
-    # The piece a row is folded in starts with the last anchored segment before it, which is a copy here.
-    own = F.when(~F.col("_first"), F.struct(F.col("_anchor").alias("_group"), F.lit(False).alias("_copy")))
-    copy = F.when(F.col("_anchored"), F.struct(tick.alias("_group"), F.lit(True).alias("_copy")))
-    rows = (
-        chained.select(
-            *layout.keys, layout.tick, "end_tick", column, "target", "reach", "_first",
-            F.inline(F.array_compact(F.array(own, copy))),
-        )
-        .repartition(*layout.keys, "_group")
-        .sortWithinPartitions(*layout.keys, "_group", layout.tick)
-    )
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("start_level", T.DoubleType())])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = 0.0
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, current = 0.0, None
         for batch in batches:
             starts = np.empty(len(batch))
-            for i, (target, reach, opens) in enumerate(zip(batch["target"], batch["reach"], batch["_copy"])):
+            names = zip(*[batch[c] for c in group])
+            for i, (name, first, target, reach) in enumerate(zip(names, batch[opens], batch["target"], batch["reach"])):
+                if name != current:
+                    level, current = first, name
                 starts[i] = level
                 gap = target - level
-                # Each piece opens with its anchored copy, so a level carried over from another piece is never used.
-                if opens or abs(gap) <= reach:
-                    level = target
+                level = target if abs(gap) <= reach else level + (reach if gap > 0 else -reach)
+            yield batch.assign(start_level=starts)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("start_level", T.DoubleType())])
+    return rows.repartition(*group).sortWithinPartitions(*group, tick).mapInPandas(walk, schema)
+
+
+def _block_starts(steps: DataFrame, layout: Layout) -> DataFrame:
+    """Level at which each block of a series is entered, with the work of a long series spread over its blocks.
+
+    What a block does to any entry level is a monotone function made of flat and slope-1 pieces. Each block is reduced to
+    the knots of its function, and the functions of a series are applied one after the other.
+    """
+    group = (*layout.keys, "_block")
+
+    def reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, opening, xs, ys = None, 0.0, [], []
+
+        def knots() -> pd.DataFrame:
+            return pd.DataFrame([(*current, opening, xs, ys)], columns=[*group, "opening", "xs", "ys"])
+
+        for batch in batches:
+            done = []
+            for name, target, reach in zip(zip(*[batch[c] for c in group]), batch["target"], batch["reach"]):
+                if name != current:
+                    if current is not None:
+                        done.append(knots())
+                    current, opening, xs, ys = name, target, [target], [target]
+                if reach == 0:
+                    continue
+                # Entry levels that arrive within reach end on the target, the others move by the reach.
+                low, high = bisect_left(ys, target - reach), bisect_right(ys, target + reach)
+                x_low = xs[low] - (ys[low] - target + reach) if low < len(xs) else xs[-1] + (target - reach - ys[-1])
+                x_high = xs[high - 1] + (target + reach - ys[high - 1]) if high else xs[0] - (ys[0] - target - reach)
+                xs = xs[:low] + [x_low, x_high] + xs[high:]
+                ys = [y + reach for y in ys[:low]] + [target, target] + [y - reach for y in ys[high:]]
+            if done:
+                yield pd.concat(done)
+        if current is not None:
+            yield knots()
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, current = 0.0, None
+        for batch in batches:
+            entries = []
+            for name, opening, xs, ys in zip(zip(*[batch[c] for c in layout.keys]), batch["opening"], batch["xs"], batch["ys"]):
+                if name != current:
+                    level, current = opening, name
+                entries.append(level)
+                if level <= xs[0]:
+                    level = ys[0] - (xs[0] - level)
+                elif level >= xs[-1]:
+                    level = ys[-1] + (level - xs[-1])
                 else:
-                    level += reach if gap > 0 else -reach
-            batch["start_level"] = starts
-            yield batch
-
-    folded = rows.mapInPandas(fold, schema)
-    wanted = ~F.col("_copy") | F.col("_first")
-    level = F.when(F.col("_first"), F.col("target")).otherwise(F.col("start_level"))
-    return folded.where(wanted).select(
-        *layout.keys, layout.tick, "end_tick", column, "target", level.alias("start_level")
+                    level = float(np.interp(level, xs, ys))
+            yield batch[list(group)].assign(entry=entries)
+
+    ids = [steps.schema[c] for c in group]
+    real, reals = T.DoubleType(), T.ArrayType(T.DoubleType())
+    reduced = T.StructType([*ids, T.StructField("opening", real), T.StructField("xs", reals), T.StructField("ys", reals)])
+    blocks = (
+        steps.repartition(*group)
+        .sortWithinPartitions(*group, layout.tick)
+        .select(*group, "target", "reach")
+        .mapInPandas(reduce_blocks, reduced)
+    )
+    ordered = blocks.repartition(*layout.keys).sortWithinPartitions(*group)
+    return ordered.mapInPandas(chain, T.StructType([*ids, T.StructField("entry", real)]))
+
+
+def expected_levels(
+    points: DataFrame, lengths: DataFrame, column: str, steepness: float, layout: Layout = SIGNALS
+) -> DataFrame:
+    """Per segment of the input: resting output (``target``) and output at its first tick (``start_level``).
+
+    Each segment starts where the one before ended, and the first one rests. Series that may exceed a chunk are walked
+    block by block, from entry levels found first.
+    """
+    tick = F.col(layout.tick)
+    steps = (
+        segments_of(points, lengths, layout)
+        .withColumn("target", static_curve(F.col(column).cast("double")))
+        .withColumn("reach", F.lit(float(steepness)) * (F.col("end_tick") - tick - 1))
     )
+    if layout.split:
+        steps = steps.withColumn("_block", layout.chunk_of())
+        group = (*layout.keys, "_block")
+        walked = _carry(steps.join(_block_starts(steps, layout), [*group]), group, layout.tick, "entry")
+    else:
+        walked = _carry(steps, layout.keys, layout.tick, "target")
+    return walked.select(*layout.keys, layout.tick, "end_tick", column, "target", "start_level")
 
 
 def expected_response(

@@ -26,7 +26,7 @@ def split_by_table(df: DataFrame, test: DataFrame, key: str = "sample_id") -> tu
 
 def split_overlap(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
     """Series used by both splits: any row is leakage."""
-    return left.select(key).intersect(right.select(key))
+    return left.select(key).distinct().intersect(right.select(key).distinct())
 
 
 def order_samples(df: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -84,15 +84,16 @@ def write_signals(df: DataFrame, path: str, sep: str = "|", series_per_folder: i
     """CSV files in one folder per ``series_per_folder`` ids.
 
     With 1, each series has its own folder and its id is in the path only, as in a one-file-per-series collection; that
-    many small files suit few series. A series longer than a chunk is written by several tasks.
+    many small files suit few series. Tasks write equal ranges of (series, tick), so a folder has few files and a long
+    series is written by several tasks.
     """
     (key,) = layout.keys
     if series_per_folder == 1:
         folder, rows = key, df
     else:
         folder, rows = "series_block", df.withColumn("series_block", F.floor(F.col(key) / series_per_folder))
-    spread = rows.withColumn("_chunk", layout.chunk_of()).repartition(key, "_chunk").drop("_chunk")
-    spread.write.partitionBy(folder).option("sep", sep).option("header", True).mode("errorifexists").csv(path)
+    ranged = rows.repartitionByRange(key, layout.tick)
+    ranged.write.partitionBy(folder).option("sep", sep).option("header", True).mode("errorifexists").csv(path)
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
