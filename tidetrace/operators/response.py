@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidetrace.functions.physics import move_towards, static_curve
 from tidetrace.plans.layout import SIGNALS, Layout, next_tick, windowed
+from tidetrace.session import settle
 
 PIECE_TICKS = 1 << 16
 
@@ -160,7 +161,8 @@ def expected_levels(
         .withColumn("reach", F.lit(float(steepness)) * (F.col("end_tick") - tick - 1))
     )
     if layout.split:
-        steps = steps.withColumn("_block", layout.chunk_of())
+        # The change points are read twice, and are far fewer than the ticks they come from.
+        steps = settle(steps.withColumn("_block", layout.chunk_of()))
         group = (*layout.keys, "_block")
         walked = _carry(steps.join(_block_starts(steps, layout), [*group]), group, layout.tick, "entry")
     else:

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.plans.layout import CHUNK_TICKS, Size, ordinals
+from tidetrace.plans.layout import CHUNK_TICKS, Size, measure, ordinals
+from tidetrace.session import settle
 
 # Fixed value: smallest divisor of the relative error (double epsilon).
 EPSILON = 2.220446049250313e-16
@@ -57,9 +58,12 @@ def trimmed_rmse(
     chunk: int = CHUNK_TICKS,
 ) -> DataFrame:
     """``rmse_summary`` without the lowest and highest ``trim`` share of each group; bounds rounded half-even."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = ordinals(df, keys, (value, tie), "_rank", size, chunk)
-    kept = ranked.join(sizes, [*keys]).where(
+    size = size or measure(df, keys)
+    if size.longest > chunk:
+        # Ranking a large group reads the scores several times.
+        df = settle(df)
+    ranked = ordinals(df, keys, (value, tie), "_rank", size, chunk, group_size="_n")
+    kept = ranked.where(
         (F.col("_rank") >= F.bround(F.col("_n") * trim)) & (F.col("_rank") < F.bround(F.col("_n") * (1 - trim)))
     )
     return rmse_summary(kept, keys, value)

@@ -153,17 +153,21 @@ def ordinals(
     out: str,
     size: Size | None = None,
     chunk: int = CHUNK_TICKS,
+    group_size: str | None = None,
 ) -> DataFrame:
     """0-based position of every row in its ``keys`` group by ``order`` (a total order; numbers or times first).
 
     Groups above ``chunk`` rows are cut into ranges of the order columns. Each range is numbered alone, and the number of
     rows in the earlier ranges of the group is added. Ranges that are still too large, because values crowd in them, are
     cut again, ``CUTS`` times in all. What is broadcast has one row per oversized group or per range of one; the
-    threshold keeps that near ``HOT_GROUPS`` whatever the size of the table.
+    threshold keeps that near ``HOT_GROUPS`` whatever the size of the table. ``group_size`` names a column for the rows of
+    the group.
     """
     longest, total, _ = size or measure(df, keys)
     if longest <= chunk or dict(df.dtypes)[order[0]] not in _POSITION:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
+        group = Window.partitionBy(*keys)
+        named = {out: F.row_number().over(group.orderBy(*order)).cast("bigint") - 1}
+        return df.withColumns(named | ({group_size: F.count("*").over(group)} if group_size else {}))
 
     limit = max(chunk, total // HOT_GROUPS)
     ranges = [f"_r{level}" for level in range(CUTS)]
@@ -176,11 +180,14 @@ def ordinals(
     earlier = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, *ranges, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, *ranges).orderBy(*order)
-    return (
+    numbered = (
         cut.join(F.broadcast(starts), [*keys, *ranges], "left")
         .withColumn(out, F.row_number().over(inside) - 1 + F.coalesce("_start", F.lit(0)))
         .select(*df.columns, out)
     )
+    if not group_size:
+        return numbered
+    return numbered.join(df.groupBy(*keys).agg(F.count("*").alias(group_size)), [*keys])
 
 
 _FAR = 1e300

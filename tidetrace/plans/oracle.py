@@ -21,7 +21,7 @@ def r6(expression: str, name: str) -> str:
 SIGNALS = """
 WITH signals AS (
   SELECT user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS time,
-         value AS input_voltage, CAST(json_extract(props, '$.k') AS DOUBLE) AS el_power, ts, event_id, event_type
+         value AS input_voltage, CAST(json_extract(props, '$.k') AS DOUBLE) AS el_power, ts, event_id
   FROM events)"""
 
 LEVELS = SIGNALS + f""",

@@ -50,17 +50,15 @@ def event_size(spark: SparkSession, sf_dir: str) -> Size:
 def signals(spark: SparkSession, sf_dir: str, size: Size | None = None) -> tuple[DataFrame, Layout]:
     """Events of a user as a series with dense ticks, and its layout with the measured longest series."""
     size = size or event_size(spark, sf_dir)
-    events = table(spark, sf_dir, "events")
-    ticked = ordinals(events, ("user_id",), ("ts", "event_id"), "time", size)
-    rows = ticked.select(
+    # Parsed before the shuffle, so that it moves a number and not the JSON text.
+    parsed = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("sample_id"),
-        "time",
         F.col("value").alias("input_voltage"),
         F.get_json_object("props", "$.k").cast("double").alias("el_power"),
         "ts",
         "event_id",
-        "event_type",
     )
+    rows = ordinals(parsed, ("sample_id",), ("ts", "event_id"), "time", size)
     return rows, replace(SIGNALS, longest=size.longest)
 
 
