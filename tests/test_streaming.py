@@ -19,32 +19,36 @@ def arrivals(spark, tmp_path):
     return folder
 
 
-def scores(rows):
-    return live.window_scores(rows, RULE, "el_power", "1 day", "60 days")
-
-
 def table(df):
     return sorted(tuple(r) for r in df.select("window_start", "sample_id", "n", "steps", "moving", "still", "total").collect())
 
 
-def test_stream_equals_batch(spark, arrivals, tmp_path):
-    stream = live.read_event_stream(spark, arrivals, "*.parquet", files_per_trigger=1)
-    live.keep_scores(scores(stream), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    kept = live.latest_scores(spark, f"{tmp_path}/out")
-    batch = spark.read.schema(live.EVENT_SCHEMA).parquet(arrivals).selectExpr(
+def events(spark, folder):
+    return spark.read.schema(live.EVENT_SCHEMA).parquet(folder).selectExpr(
         "user_id as sample_id", "cast(ts as timestamp) as ts", "event_id", "cast(get_json_object(props, '$.k') as double) as el_power"
     )
-    expected = table(scores(batch))
-    assert len(expected) > 300 and table(kept) == expected
+
+
+@pytest.mark.parametrize("length", ["3 hours", "1 day"])
+def test_stream_equals_batch(spark, arrivals, tmp_path, length):
+    stream = live.read_event_stream(spark, arrivals, "*.parquet", files_per_trigger=1)
+    slices = live.slice_scores(stream, RULE, "el_power", length, "60 days")
+    live.keep_slices(slices, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    kept = live.window_scores(live.latest_slices(spark, f"{tmp_path}/out"), RULE, "1 day")
+    whole = live.slice_scores(events(spark, arrivals), RULE, "el_power", "1 day", "60 days")
+    expected = table(live.window_scores(whole, RULE, "1 day"))
+    got = table(kept)
+    assert len(expected) > 300 and [r[:4] for r in got] == [r[:4] for r in expected]
+    assert [r[4:] for r in got] == [pytest.approx(r[4:]) for r in expected]
     total = live.total_score(kept, RULE, ()).first()
     assert total["loss_tgds"] == pytest.approx(2.0 * sum(r[6] for r in expected) / sum(r[3] for r in expected))
 
 
-def test_log_appends_closed_windows_only(spark, arrivals, tmp_path):
+def test_log_appends_closed_slices_only(spark, arrivals, tmp_path):
     stream = live.read_event_stream(spark, arrivals, "*.parquet")
-    log = live.window_scores(stream, RULE, "el_power", "1 day", "2 days")
+    log = live.slice_scores(stream, RULE, "el_power", "1 day", "2 days")
     live.append_log(log, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/log")
-    newest = spark.read.parquet(arrivals).selectExpr("max(ts)").first()[0]
+    newest = events(spark, arrivals).selectExpr("max(ts)").first()[0]
     assert rows.count() > 300
-    assert rows.selectExpr("max(window_end)").first()[0] <= newest
+    assert rows.selectExpr("max(slice_end)").first()[0] <= newest

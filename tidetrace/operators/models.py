@@ -62,9 +62,9 @@ def _curvature(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     cells = rows.select("x", "dx").mapInPandas(sums, "cell bigint, value double")
     table = cells.groupBy("cell").agg(F.sum("value").alias("value")).orderBy("cell").toPandas()
-    n = rows.count()
-    gram = table["value"].to_numpy().reshape(2, size + 1, size + 1) / n
-    return gram[0], gram[1]
+    gram = table["value"].to_numpy().reshape(2, size + 1, size + 1)
+    # The constant's product with itself counts the rows.
+    return gram[0] / gram[0][-1, -1], gram[1] / gram[0][-1, -1]
 
 
 def fit_tgds_linear(

@@ -482,16 +482,16 @@ draws AS (
 SELECT run, train_size, ex_name, loss, steepness: round(steepness, 6), loss_tolerance, theta, tgds_ratio, config_id,
        CAST(sum(length) AS BIGINT) AS train_rows, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY sample_id) AS train_samples
 FROM grid JOIN draws USING (run) WHERE draw_no <= train_size GROUP BY ALL""",
-    "minmax_scaled": SIGNALS + f"\nSELECT sample_id, time, {r6(SCALED['input_voltage'], 'scaled')} FROM signals",
-    "minmax_inverted": SIGNALS + f"""
+    "minmax_scale": SIGNALS + f"\nSELECT sample_id, time, {r6(SCALED['input_voltage'], 'scaled')} FROM signals",
+    "minmax_inverse": SIGNALS + f"""
 SELECT sample_id, time, {r6(f'input_voltage / 500 * {dbl(_HI - _LO)} + {dbl(_LO)}', 'unscaled')} FROM signals""",
-    "scaled_steepness": SIGNALS + f"""
+    "scale_steepness": SIGNALS + f"""
 SELECT sample_id, {r6(scale('avg(el_power)', _LO, _HI), 'affine')}, {r6(f'avg(el_power) / {dbl(_HI - _LO)}', 'linear')}
 FROM signals GROUP BY sample_id""",
-    "deviation_from_band": SIGNALS + """
+    "band_deviation": SIGNALS + """
 SELECT sample_id, time, CASE WHEN el_power < 25 THEN 25 - el_power WHEN el_power > 75 THEN el_power - 75 ELSE 0 END
   AS deviation FROM signals""",
-    "resting_output": SIGNALS + """
+    "static_curve": SIGNALS + """
 SELECT sample_id, time, round(40 * (input_voltage / 100) ** 2, 9) AS output FROM signals""",
     "expected_response": RESPONSE + f"\nSELECT sample_id, time, {r6('expected', 'expected')} FROM expected",
     "response_residuals": RESPONSE + f"""
@@ -501,11 +501,11 @@ FROM expected GROUP BY sample_id""",
     "parse_path": """
 SELECT event_id, event_type || '/user-' || user_id || '/' AS folder, event_id AS sample_no,
        'sample_' || event_id || '.csv' AS file FROM events""",
-    "parse_durations": """
+    "parse_duration": """
 SELECT event_id, round((event_id % 3) * 86400 + (user_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59
        + (event_id % 1000000) / 1e6, 6) AS seconds FROM events""",
     "explode_true_pred": PREDICTIONS + "\nSELECT sample_id, time, y_true, y_pred FROM predictions",
-    "json_merged": """
+    "json_merge": """
 SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
        event_type AS t, CAST(2 AS BIGINT) AS entries FROM events""",
     "stream_tgds": WINDOWED + f"""
@@ -527,3 +527,4 @@ SELECT split, sample_id, count(*) AS n, {r6('sqrt(avg((t - p) ** 2))', 'rmse')},
        {r6('max(abs(t - p))', 'maxae')} FROM predicted GROUP BY split, sample_id""",
     "fit_tgds_linear": guided_steps(q.GUIDED_RULE, q.FIT_STEPS),
 }
+ORACLE["write_true_pred_text"] = ORACLE["write_true_pred"]

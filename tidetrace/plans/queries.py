@@ -8,9 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.functions.physics import TwoState, band_deviation, static_curve
-from tidetrace.functions.scaling import minmax_inverse, minmax_scale, scale_steepness
-from tidetrace.functions.text import json_merge, parse_duration, path_tail, series_number
+from tidetrace.functions import physics, scaling, text
+from tidetrace.functions.physics import TwoState
 from tidetrace.operators import consistency, experiments, features, history, models, response, scores, segments, splits
 from tidetrace.plans import views
 from tidetrace.plans.layout import Size
@@ -27,7 +26,7 @@ RULE = TwoState(steepness=0.07, tolerance=0.1, theta=2.0, ratio=0.6)
 NORMALIZED_RULE = TwoState(steepness=0.2, tolerance=0.25, theta=0.4, ratio=3.0, normalized=True)
 METRIC_RULE = TwoState(steepness=0.07, tolerance=0.0, theta=1000.0, ratio=0.6)
 STREAM_RULE = TwoState(steepness=20.0, tolerance=0.1, theta=1.0, ratio=0.6)
-STREAM_WINDOW, STREAM_DELAY = "1 day", "2 days"
+STREAM_SLICE, STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 day", "2 days"
 RESPONSE_STEEPNESS = 30.0
 PATIENCE = history.patience_for(50)
 REPS, LEVEL = 200, 0.68
@@ -124,12 +123,12 @@ def write_signals(spark, sf_dir):
     return files.read_table(spark, path, columns)
 
 
-@query
-def write_true_pred(spark, sf_dir):
+def _stored_predictions(spark: SparkSession, sf_dir: str, as_csv: bool) -> DataFrame:
     rows, layout = views.predictions(spark, sf_dir)
     path = scratch_path(spark, "true-pred")
-    files.write_nested_predictions(experiments.nest_predictions(rows, layout), path)
-    return spark.read.parquet(path).select(
+    files.write_nested_predictions(experiments.nest_predictions(rows, layout), path, as_csv)
+    columns = "sample_id BIGINT, part BIGINT, time BIGINT"
+    return files.read_nested_predictions(spark, path, columns, as_csv).select(
         "sample_id",
         "part",
         F.size("true").cast("bigint").alias("n"),
@@ -138,6 +137,16 @@ def write_true_pred(spark, sf_dir):
     )
 
 
+@query
+def write_true_pred(spark, sf_dir):
+    return _stored_predictions(spark, sf_dir, as_csv=False)
+
+
+@query
+def write_true_pred_text(spark, sf_dir):
+    return _stored_predictions(spark, sf_dir, as_csv=True)
+
+
 @query
 def write_config(spark, sf_dir):
     path = scratch_path(spark, "config")
@@ -570,43 +579,43 @@ def experiment_grid(spark, sf_dir):
 
 
 @query
-def minmax_scaled(spark, sf_dir):
+def minmax_scale(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
     lo, hi = (F.lit(v) for v in views.INPUT_RANGE)
-    return rows.select("sample_id", "time", r6(minmax_scale(F.col("input_voltage"), lo, hi)).alias("scaled"))
+    return rows.select("sample_id", "time", r6(scaling.minmax_scale(F.col("input_voltage"), lo, hi)).alias("scaled"))
 
 
 @query
-def minmax_inverted(spark, sf_dir):
+def minmax_inverse(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
     lo, hi = (F.lit(v) for v in views.OUTPUT_RANGE)
     share = F.col("input_voltage") / 500
-    return rows.select("sample_id", "time", r6(minmax_inverse(share, lo, hi)).alias("unscaled"))
+    return rows.select("sample_id", "time", r6(scaling.minmax_inverse(share, lo, hi)).alias("unscaled"))
 
 
 @query
-def scaled_steepness(spark, sf_dir):
+def scale_steepness(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
     lo, hi = (F.lit(v) for v in views.OUTPUT_RANGE)
     steps = rows.groupBy("sample_id").agg(F.avg("el_power").alias("steepness"))
     return steps.select(
         "sample_id",
-        r6(scale_steepness(F.col("steepness"), lo, hi)).alias("affine"),
-        r6(scale_steepness(F.col("steepness"), lo, hi, "linear")).alias("linear"),
+        r6(scaling.scale_steepness(F.col("steepness"), lo, hi)).alias("affine"),
+        r6(scaling.scale_steepness(F.col("steepness"), lo, hi, "linear")).alias("linear"),
     )
 
 
 @query
-def deviation_from_band(spark, sf_dir):
+def band_deviation(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
-    off = band_deviation(F.col("el_power"), F.lit(25.0), F.lit(75.0))
+    off = physics.band_deviation(F.col("el_power"), F.lit(25.0), F.lit(75.0))
     return rows.select("sample_id", "time", r6(off).alias("deviation"))
 
 
 @query
-def resting_output(spark, sf_dir):
+def static_curve(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
-    return rows.select("sample_id", "time", F.round(static_curve(F.col("input_voltage") / 100), 9).alias("output"))
+    return rows.select("sample_id", "time", F.round(physics.static_curve(F.col("input_voltage") / 100), 9).alias("output"))
 
 
 def _response(spark: SparkSession, sf_dir: str):
@@ -625,7 +634,7 @@ def expected_response(spark, sf_dir):
 @query
 def response_residuals(spark, sf_dir):
     rows, layout, expected = _response(spark, sf_dir)
-    resting = rows.select("sample_id", "time", static_curve(F.col("el_power").cast("double")).alias("y_true"))
+    resting = rows.select("sample_id", "time", physics.static_curve(F.col("el_power").cast("double")).alias("y_true"))
     both = features.align_xy(resting, expected.withColumnRenamed("expected", "y_pred"), layout)
     return scores.regression_metrics(both).select(
         "sample_id", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("maxae").alias("maxae")
@@ -645,14 +654,14 @@ def parse_path(spark, sf_dir):
     rows = events.select("event_id", path.alias("path"))
     return rows.select(
         "event_id",
-        path_tail(F.col("path")).alias("folder"),
-        series_number(F.col("path")).alias("sample_no"),
+        text.path_tail(F.col("path")).alias("folder"),
+        text.series_number(F.col("path")).alias("sample_no"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
     )
 
 
 @query
-def parse_durations(spark, sf_dir):
+def parse_duration(spark, sf_dir):
     events = views.table(spark, sf_dir, "events")
     clock = F.format_string(
         "%d:%02d:%02d.%06d",
@@ -662,9 +671,9 @@ def parse_durations(spark, sf_dir):
         F.col("event_id") % 1000000,
     )
     days = F.col("event_id") % 3
-    text = F.when(days == 0, clock).otherwise(F.concat(days, F.when(days == 1, " day, ").otherwise(" days, "), clock))
-    rows = events.select("event_id", text.alias("duration"))
-    return rows.select("event_id", r6(parse_duration(F.col("duration"))).alias("seconds"))
+    shown = F.when(days == 0, clock).otherwise(F.concat(days, F.when(days == 1, " day, ").otherwise(" days, "), clock))
+    rows = events.select("event_id", shown.alias("duration"))
+    return rows.select("event_id", r6(text.parse_duration(F.col("duration"))).alias("seconds"))
 
 
 @query
@@ -674,11 +683,11 @@ def explode_true_pred(spark, sf_dir):
 
 
 @query
-def json_merged(spark, sf_dir):
+def json_merge(spark, sf_dir):
     events = views.table(spark, sf_dir, "events")
     both = F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("k")))
     other = F.when(F.col("event_id") % 2 == 0, both).otherwise(F.to_json(F.struct(F.col("event_type").alias("t"))))
-    merged = events.select("event_id", json_merge(F.col("props"), other).alias("m"))
+    merged = events.select("event_id", text.json_merge(F.col("props"), other).alias("m"))
     return merged.select(
         "event_id",
         F.col("m")["k"].cast("bigint").alias("k"),
@@ -690,24 +699,26 @@ def json_merged(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _live_slices(spark: SparkSession, sf_dir: str, length: str) -> DataFrame:
     rows = live.read_event_stream(spark, sf_dir, "events.parquet")
-    return live.window_scores(rows, STREAM_RULE, "el_power", STREAM_WINDOW, STREAM_DELAY)
+    return live.slice_scores(rows, STREAM_RULE, "el_power", length, STREAM_DELAY)
 
 
 @query
 def stream_tgds(spark, sf_dir):
-    path = scratch_path(spark, "stream-scores")
-    live.keep_scores(_live_scores(spark, sf_dir), path, scratch_path(spark, "stream-state")).awaitTermination()
-    kept = live.latest_scores(spark, path)
-    return _rounded(live.total_score(kept, STREAM_RULE), "total", "loss_tgds")
+    path = scratch_path(spark, "stream-slices")
+    slices = _live_slices(spark, sf_dir, STREAM_SLICE)
+    live.keep_slices(slices, path, scratch_path(spark, "stream-state")).awaitTermination()
+    windows = live.window_scores(live.latest_slices(spark, path), STREAM_RULE, STREAM_WINDOW)
+    return _rounded(live.total_score(windows, STREAM_RULE), "total", "loss_tgds")
 
 
 @query
 def stream_batch_log(spark, sf_dir):
     path = scratch_path(spark, "stream-log")
-    live.append_log(_live_scores(spark, sf_dir), path, scratch_path(spark, "stream-state")).awaitTermination()
-    log = spark.read.parquet(path)
+    slices = _live_slices(spark, sf_dir, STREAM_WINDOW)
+    live.append_log(slices, path, scratch_path(spark, "stream-state")).awaitTermination()
+    log = live.window_scores(spark.read.parquet(path), STREAM_RULE, STREAM_WINDOW)
     return _rounded(log, "moving", "still", "total").select(
         "sample_id", F.unix_seconds("window_start").alias("window_start"), "n", "steps", "moving", "still", "total"
     )

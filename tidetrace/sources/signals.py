@@ -122,6 +122,18 @@ def write_config(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").json(path)
 
 
-def write_nested_predictions(df: DataFrame, path: str) -> None:
-    """Nested predictions with real lists."""
-    df.write.mode("errorifexists").parquet(path)
+def write_nested_predictions(df: DataFrame, path: str, text: bool = False) -> None:
+    """Nested predictions with real lists (Parquet), or as CSV with the lists as JSON text."""
+    if text:
+        texts = df.withColumns({c: F.to_json(c) for c in ("true", "pred")})
+        texts.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    else:
+        df.write.mode("errorifexists").parquet(path)
+
+
+def read_nested_predictions(spark: SparkSession, path: str, columns: str, text: bool = False) -> DataFrame:
+    """Nested predictions as written; ``columns`` is the DDL of the other columns, which come first."""
+    if not text:
+        return spark.read.schema(f"{columns}, true ARRAY<DOUBLE>, pred ARRAY<DOUBLE>").parquet(path)
+    rows = spark.read.schema(f"{columns}, true STRING, pred STRING").option("header", True).option("escape", '"').csv(path)
+    return rows.withColumns({c: F.from_json(c, "array<double>") for c in ("true", "pred")})

@@ -1,13 +1,14 @@
 """The two-state score kept up to date on a stream.
 
-A batch of the score is one series in one tumbling event-time window. Steps never cross a batch, so a window is scored
-from its own rows and the scores of windows add up. The window length bounds the rows a group holds in state: choose it
-from the rate of the fastest series.
+A batch of the score is one series in one tumbling event-time window. The stream keeps windows as slices: a slice is scored
+from its own rows and remembers its first and last value, and ``window_scores`` adds the steps between slices when the
+result is read. State holds the rows of open slices only, so the slice is chosen from the rate of the fastest series and
+the window from the question.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,29 +38,53 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
 
-def window_scores(rows: DataFrame, rule: TwoState, value: str, window: str, delay: str) -> DataFrame:
-    """Per (series, window): rows, steps, both state sums and the weighted total. Works on streams and tables.
+def slice_scores(rows: DataFrame, rule: TwoState, value: str, length: str, delay: str) -> DataFrame:
+    """Per (series, slice): rows, both error sums over the steps inside, first and last value. For streams and tables.
 
-    ``lag`` is not available on streams; the rows of a window are sorted in an array and neighbours are subtracted.
+    ``lag`` is not available on streams; the rows of a slice are sorted in an array and neighbours are subtracted.
     """
     entry = F.struct("ts", "event_id", F.col(value).alias("v"))
     grouped = (
         rows.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window).alias("w"), "sample_id")
+        .groupBy(F.window("ts", length).alias("w"), "sample_id")
         .agg(F.sort_array(F.collect_list(entry)).alias("e"))
     )
     v = F.col("e.v")
     size = F.size(v)
-    pairs = F.zip_with(F.slice(v, 2, size), F.slice(v, 1, F.greatest(size - 1, F.lit(0))), lambda a, b: F.abs(a - b))
-    steps = F.when(size > 1, pairs).otherwise(F.array(F.lit(0.0)))
-    scored = grouped.select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+    steps = F.zip_with(F.slice(v, 2, size), F.slice(v, 1, size - 1), lambda a, b: F.abs(a - b))
+    return grouped.select(
+        F.col("w.start").alias("slice_start"),
+        F.col("w.end").alias("slice_end"),
         "sample_id",
         size.cast("bigint").alias("n"),
-        F.greatest(size - 1, F.lit(1)).cast("bigint").alias("steps"),
         _sum(F.transform(steps, rule.moving_error)).alias("moving"),
         _sum(F.transform(steps, rule.static_error)).alias("still"),
+        v[0].alias("first"),
+        F.element_at(v, -1).alias("last"),
+    )
+
+
+def window_scores(slices: DataFrame, rule: TwoState, length: str) -> DataFrame:
+    """Per (series, window): rows, steps, both error sums and the weighted total, from a table of slices."""
+    window = F.window("slice_start", length)
+    placed = slices.withColumns({"window_start": window["start"], "window_end": window["end"]})
+    order = Window.partitionBy("window_start", "sample_id").orderBy("slice_start")
+    joined = placed.withColumn("d", F.abs(F.col("first") - F.lag("last").over(order)))
+    between = {c: F.coalesce(F.sum(e(F.col("d"))), F.lit(0.0)) for c, e in (("moving", rule.moving_error), ("still", rule.static_error))}
+    sums = joined.groupBy("window_start", "window_end", "sample_id").agg(
+        F.sum("n").alias("n"), *[(F.sum(c) + b).alias(c) for c, b in between.items()]
+    )
+    # A window of one row has one step of size 0.
+    still, moving = rule.errors_at_rest()
+    single = F.col("n") == 1
+    scored = sums.select(
+        "window_start",
+        "window_end",
+        "sample_id",
+        "n",
+        F.greatest(F.col("n") - 1, F.lit(1)).alias("steps"),
+        F.when(single, F.lit(moving)).otherwise(F.col("moving")).alias("moving"),
+        F.when(single, F.lit(still)).otherwise(F.col("still")).alias("still"),
     )
     return scored.withColumn("total", F.least(F.lit(rule.alpha) * F.col("moving"), F.lit(rule.beta) * F.col("still")))
 
@@ -73,8 +98,8 @@ def total_score(scores: DataFrame, rule: TwoState, keys: tuple[str, ...] = ("sam
     )
 
 
-def keep_scores(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each trigger's changed windows below ``path``, one folder per trigger, so a repeated trigger replaces its own."""
+def keep_slices(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each trigger's changed slices below ``path``, one folder per trigger, so a repeated trigger replaces its own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -88,16 +113,16 @@ def keep_scores(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def latest_scores(spark: SparkSession, path: str) -> DataFrame:
-    """The newest score of each window from ``keep_scores``."""
+def latest_slices(spark: SparkSession, path: str) -> DataFrame:
+    """The newest score of each slice from ``keep_slices``."""
     rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in ("batch", "window_start", "sample_id")]
+    values = [c for c in rows.columns if c not in ("batch", "slice_start", "sample_id")]
     newest = F.max_by(F.struct(*values), "batch").alias("s")
-    return rows.groupBy("window_start", "sample_id").agg(newest).select("window_start", "sample_id", "s.*")
+    return rows.groupBy("slice_start", "sample_id").agg(newest).select("slice_start", "sample_id", "s.*")
 
 
 def append_log(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each window to a Parquet log once the watermark has passed its end."""
+    """Append each slice to a Parquet log once the watermark has passed its end."""
     return (
         scores.writeStream.outputMode("append")
         .format("parquet")
