@@ -158,8 +158,8 @@ def ordinals(
     """0-based position of every row in its ``keys`` group by ``order`` (a total order; numbers or times first).
 
     Groups above ``chunk`` rows are cut into ranges of the order columns. Each range is numbered alone, and the number of
-    rows in the earlier ranges of the group is added. Ranges that are still too large, because values crowd in them, are
-    cut again, ``CUTS`` times in all. What is broadcast has one row per oversized group or per range of one; the
+    rows in the earlier ranges of the group is added. Ranges that turn out too large, because values crowd in them, are
+    cut again, up to ``CUTS`` times in all. What is broadcast has one row per oversized group or per range of one; the
     threshold keeps that near ``HOT_GROUPS`` whatever the size of the table. ``group_size`` names a column for the rows of
     the group.
     """
@@ -170,15 +170,14 @@ def ordinals(
         return df.withColumns(named | ({group_size: F.count("*").over(group)} if group_size else {}))
 
     limit = max(chunk, total // HOT_GROUPS)
-    ranges = [f"_r{level}" for level in range(CUTS)]
-    cut = df
-    for level, name in enumerate(ranges):
-        cut = _cut(cut, (*keys, *ranges[:level]), order, name, limit)
+    cut, ranges = df, []
+    while len(ranges) < CUTS and (not ranges or measure(cut, (*keys, *ranges)).longest > limit):
+        cut = _cut(cut, (*keys, *ranges), order, f"_r{len(ranges)}", limit)
+        ranges.append(f"_r{len(ranges)}")
 
-    hot = cut.where(F.greatest(*ranges) > 0).select(*keys).distinct()
-    sizes = cut.groupBy(*keys, *ranges).count().join(F.broadcast(hot), [*keys], "left_semi")
     earlier = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, *ranges, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
+    counts = cut.groupBy(*keys, *ranges).count()
+    starts = counts.select(*keys, *ranges, F.sum("count").over(earlier).alias("_start")).where("_start > 0")
     inside = Window.partitionBy(*keys, *ranges).orderBy(*order)
     numbered = (
         cut.join(F.broadcast(starts), [*keys, *ranges], "left")
