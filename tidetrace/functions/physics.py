@@ -64,12 +64,13 @@ class TwoState:
     def moving_error(self, d: Column) -> Column:
         """Squared distance of an absolute difference to the rate band."""
         low, high = self.band
-        return F.pow(band_deviation(d, F.lit(float(low)), F.lit(float(high))), F.lit(2.0))
+        off = band_deviation(d, F.lit(float(low)), F.lit(float(high)))
+        return off * off
 
     def static_error(self, d: Column) -> Column:
         """Squared distance of an absolute difference to standing still."""
         off = F.when(d.isNotNull(), F.greatest(d - F.lit(float(self.still)), F.lit(0.0)))
-        return F.pow(off, F.lit(2.0))
+        return off * off
 
     def combine(self, mse: Column, tgds: Column) -> Column:
         weight = (1 - self.theta) if self.normalized else 1.0

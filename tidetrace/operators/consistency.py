@@ -133,8 +133,8 @@ def tgds_sweep(df: DataFrame, rules: Iterable[TwoState], batch: tuple[str, ...]
     sums, means = [], []
     for i, shape in enumerate(TwoState(s, t) for s, t in shapes):
         low, high, still = (f"{v!r}D" for v in (*shape.band, shape.still))
-        sums.append(F.expr(f"sum(pow(if(d is null, null, greatest(d - {still}, 0D)), 2))").alias(f"s_{i}"))
-        sums.append(F.expr(f"sum(pow(if(d is null, null, greatest({low} - d, d - {high}, 0D)), 2))").alias(f"m_{i}"))
+        for name, off in (("s", f"greatest(d - {still}, 0D)"), ("m", f"greatest({low} - d, d - {high}, 0D)")):
+            sums.append(F.expr(f"sum({off} * {off}) filter (where d is not null)").alias(f"{name}_{i}"))
         # A batch of one row has one step of size 0.
         static_0, moving_0 = (f"{v!r}D" for v in shape.errors_at_rest())
         steps = "greatest(n - 1, 1)"
