@@ -11,12 +11,18 @@ from tidetrace.operators.consistency import BATCH_ROWS, batch_blocks
 from tidetrace.plans.layout import SIGNALS, Layout
 
 
-def split_test(df: DataFrame, test_ids: Iterable, pool: Iterable | None = None, key: str = "sample_id") -> DataFrame:
-    """Add ``split``: ``test`` for the listed series, ``train`` for the others of the pool (all others by default)."""
+def split_test(
+    df: DataFrame, test_ids: Iterable, pool: Iterable | None = None, key: str = "sample_id", drop_unused: bool = True
+) -> DataFrame:
+    """Add ``split``: ``test`` for the listed series, ``train`` for the others of the pool (all others by default).
+
+    Series in neither are dropped, or kept with NULL.
+    """
     in_test = F.col(key).isin(list(test_ids))
     in_pool = F.lit(True) if pool is None else F.col(key).isin(list(pool))
     split = F.when(in_test, F.lit("test")).when(in_pool, F.lit("train"))
-    return df.withColumn("split", split).where(F.col("split").isNotNull())
+    marked = df.withColumn("split", split)
+    return marked.where(F.col("split").isNotNull()) if drop_unused else marked
 
 
 def split_by_table(df: DataFrame, test: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:

@@ -353,8 +353,8 @@ SELECT sample_id, time, {r6('diff', 'diff')} FROM (
 SELECT CASE WHEN sample_id % {views.TEST_EVERY} = 0 THEN 'test' ELSE 'train' END AS split, sample_id, count(*) AS n,
        {r6('sum(el_power)', 'el_power')} FROM signals GROUP BY ALL""",
     "split_pool": SIGNALS + """
-SELECT sample_id, time, CASE WHEN sample_id IN (4, 12) THEN 'test' ELSE 'train' END AS split FROM signals
-WHERE sample_id BETWEEN 0 AND 99""",
+SELECT sample_id, time,
+       CASE WHEN sample_id IN (4, 12) THEN 'test' WHEN sample_id BETWEEN 0 AND 99 THEN 'train' END AS split FROM signals""",
     "static_vs_slope": SEGMENTS + """
 SELECT sample_id, count(*) FILTER (WHERE is_static) AS static_segments,
        count(*) FILTER (WHERE NOT is_static) AS slope_segments, max(length) FILTER (WHERE is_static) AS longest_static,
@@ -369,7 +369,7 @@ FROM signals""",
 SELECT lagged.*, el_power FROM lagged JOIN signals USING (sample_id, time)""",
     "split_overlap": f"""
 SELECT sample_id FROM (
-  SELECT DISTINCT user_id AS sample_id FROM events WHERE user_id % 2 = 0
+  SELECT DISTINCT user_id AS sample_id FROM events
   ORDER BY {DRAW.format(seed=7, key='sample_id')}, sample_id LIMIT 40) WHERE sample_id % {views.TEST_EVERY} = 0""",
     "step_fill": POINTS + """
 SELECT l.sample_id, l.time, p.el_power

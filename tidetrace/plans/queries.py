@@ -278,7 +278,7 @@ def split_test(spark, sf_dir):
 @query
 def split_pool(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
-    marked = splits.split_test(rows, test_ids=[4, 12], pool=range(0, 100))
+    marked = splits.split_test(rows, test_ids=[4, 12], pool=range(0, 100), drop_unused=False)
     return marked.select("sample_id", "time", "split")
 
 
@@ -329,8 +329,7 @@ def align_xy(spark, sf_dir):
 @query
 def split_overlap(spark, sf_dir):
     ids = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"))
-    pool = ids.where(F.col("sample_id") % 2 == 0)
-    return splits.split_overlap(splits.sample_train(pool, 40, seed=7), _test_ids(spark, sf_dir))
+    return splits.split_overlap(splits.sample_train(ids, 40, seed=7), _test_ids(spark, sf_dir))
 
 
 @query
