@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidetrace.llm import fair_queue, host_rules, secrets
+from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, minhash, secrets, unit_dedup
 from tidetrace.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,17 @@ def query(fn):
     return fn
 
 
+@query
+def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = written(discriminant.with_features(table(spark, sf_dir, "documents")), "features")
+    return discriminant.quality(measured, table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = host_rules.with_stats(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
@@ -30,6 +42,21 @@ def op7_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue.mix(fair_queue.sized(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = minhash.near_duplicates(documents)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept")
+    )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
