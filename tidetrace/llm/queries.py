@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, minhash, secrets, unit_dedup
+from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, minhash, pii, secrets, unit_dedup, warc
 from tidetrace.llm.common import table, written
+from tidetrace.session import scratch_path
+
+#: Of the registered query; a caller has a secret of their own.
+PSEUDONYM_KEY = "example key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +23,27 @@ def query(fn):
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_pages(spark, path)
+    return found.select(
+        warc.page_id("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+        "fault",
+    )
+
+
+@query
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = pii.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    return named.select("doc_id", "n_pseudonyms", "text")
+
+
 @query
 def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(discriminant.with_features(table(spark, sf_dir, "documents")), "features")
