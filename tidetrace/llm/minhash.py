@@ -198,26 +198,25 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, plan:
 
 def class_components(classes: DataFrame, documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``node, component`` of the linked classes. ``classes`` is a table of sketches with one row per set."""
-    buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    keyed = written(buckets.select(F.xxhash64("band", "key").alias("key"), "id"), "buckets")
-    lowest = keyed.groupBy("key").agg(F.min("id").alias("lowest"), F.max("id").alias("highest")).where("lowest < highest")
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.select(F.xxhash64("band", "key").alias("key"), "id")
+    lowest = buckets.groupBy("key").agg(F.min("id").alias("lowest"), F.max("id").alias("highest")).where("lowest < highest")
     lowest = written(lowest.drop("highest"), "lowest")
-    members = written(keyed.join(lowest, "key"), "members")
+    members = written(buckets.join(lowest, "key"), "members")
 
     stars = members.where("id > lowest").select(F.col("lowest").alias("u"), F.col("id").alias("v")).distinct()
     links = written(_confirmed(stars, classes, documents, plan), "links")
     found = components(links)
 
-    # members of a bucket that are still in different components; the bucket's smallest has been compared
+    # members in other components than that of their bucket's smallest, with all other members but the smallest
     placed = members.join(found, members.id == found.node, "left")
-    placed = placed.select("key", "id", "lowest", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    split = written(split.where("least < most").select("key"), "split")
-    rest = written(placed.join(split, "key").where("id > lowest").select("key", "id", "component"), "rest")
-    a, b = rest.toDF("key", "u", "cu"), rest.toDF("key", "v", "cv")
-    across = a.join(b, "key").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _confirmed(across, classes, documents, plan)
-    return components(links.union(more))
+    placed = placed.select("key", "id", "lowest", F.coalesce("component", "id").alias("c"))
+    leads = placed.where("id = lowest").select("key", F.col("c").alias("lead_c"))
+    placed, leads = written(placed.where("id != lowest").drop("lowest"), "placed"), written(leads, "leads")
+    odd = written(placed.join(leads, "key").where("c != lead_c").toDF("key", "v", "d", "lead_c").drop("lead_c"), "odd")
+    across = placed.join(odd, "key").where((F.col("c") != F.col("d")))
+    across = across.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    return components(links.union(_confirmed(across, classes, documents, plan)))
 
 
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
