@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, minhash, pii, secrets, unit_dedup, warc
-from tidetrace.llm.common import table, written
+from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, line_dedup, minhash, pii, secrets, unit_dedup, warc
+from tidetrace.llm.common import table, with_row_id, written
 from tidetrace.session import scratch_path
 
 #: Of the registered query; a caller has a secret of their own.
@@ -50,6 +50,12 @@ def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.quality(measured, table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_row_id(table(spark, sf_dir, "documents"), "row").select("row", "doc_id", "text")
+    return line_dedup.repeated_lines(documents).select("doc_id", "n", "kept_doc_id", "kept_n", "component")
+
+
 @query
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
