@@ -70,15 +70,17 @@ def _with_start(df: DataFrame, keys: list[str], size: str, start: str) -> DataFr
 def queued(documents: DataFrame, weights: Sequence[int], budget: float, passes: int, seed: int) -> DataFrame:
     """All documents in all passes that can matter, with ``position``, the place of their last word in the endless mix."""
     kept = documents.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
-    kept = kept.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    # 48 bits that any engine can compute
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    kept = kept.withColumn("turn", F.conv(F.substring(hashed, 1, 12), 16, 10).cast("bigint"))
     kept = written(kept.withColumn("line", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "queue")
     targets = written(source_targets(kept, weights, budget, passes), "targets")
     rows = kept.count()
 
     # the place in the source's queue
     ranges = rows // RANGE_ROWS + 1
-    hashed = F.shiftrightunsigned("turn", 40).cast("double") / (1 << 24)
-    queue = _with_start(kept.withColumn("part", F.floor(hashed * ranges)), ["line", "part"], "size", "start")
+    among = F.col("turn").cast("double") / (1 << 48)
+    queue = _with_start(kept.withColumn("part", F.floor(among * ranges)), ["line", "part"], "size", "start")
     order = Window.partitionBy("line", "part").orderBy("turn", "doc_id", "size")
     here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queue = queue.withColumns({"place": F.row_number().over(order), "upto": F.col("start") + F.sum("size").over(here)})

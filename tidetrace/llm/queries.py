@@ -1,4 +1,4 @@
-"""The registered queries of the text operators, and SQL for those that SQL can express."""
+"""The registered queries of the text operators; ``ORACLE`` has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, line_dedup, minhash, pii, secrets, unit_dedup, warc
 from tidetrace.llm.common import table, with_row_id, written
+from tidetrace.llm.oracle import ORACLE  # noqa: F401
 from tidetrace.session import scratch_path
 
 #: Of the registered query; a caller has a secret of their own.
 PSEUDONYM_KEY = "example key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn):
@@ -34,7 +34,6 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_digest",
         "record_type",
         warc.page_id("refers_to").alias("refers_to"),
-        "fault",
     )
 
 

@@ -288,7 +288,8 @@ def page_id(record_id: str, kind: str = "bigint"):
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The decoded records of the archives under ``path``. Raises where a record is faulty."""
+    """The decoded records of the archives under ``path``, without ``fault``: the read fails at a faulty record."""
     found = decode(reassemble(read_records(spark, path)))
-    broken = F.raise_error(F.concat(F.lit("faulty record "), "record_id", F.lit(": "), "fault"))
-    return found.withColumn("fault", F.when(F.col("fault").isNotNull(), broken))
+    message = F.concat(F.lit("faulty record "), "record_id", F.lit(": "), "fault")
+    sound = F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return found.where(sound).drop("fault")
