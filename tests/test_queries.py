@@ -12,6 +12,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry_point
 from tidetrace.plans import views
+from tidetrace.plans.queries import QUERIES
 
 TABLES = "customer orders events".split()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -43,7 +44,7 @@ def compare(spark, sql, name):
     assert sorted(tuple(text(r[c]) for c in columns) for r in df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     compare(spark, sql, name)
 
@@ -90,6 +91,7 @@ def test_segments_need_one_shuffle_of_the_rows(spark):
 def test_filter_on_the_series_reaches_the_scan(spark):
     from tidetrace.operators.features import lag_features
     from tidetrace.plans import views
+from tidetrace.plans.queries import QUERIES
 
     rows, layout = views.signals(spark, SMALL)
     lagged = lag_features(rows, ["el_power"], 3, 1, layout).where("sample_id = 4")
