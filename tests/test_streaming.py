@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from conftest import SMALL
 
@@ -9,13 +11,19 @@ from tidetrace.streaming import consistency as live
 RULE = TwoState(20.0, 0.1, 2.0, 0.6)
 
 
-@pytest.fixture()
-def arrivals(spark, tmp_path):
-    """The events as several files, oldest first."""
+@pytest.fixture(scope="module", params=["file", "folder", "parts"])
+def arrivals(request, spark, tmp_path_factory):
+    """The events as one file, a folder with one file, and a folder of six files that each hold all times."""
+    folder = f"{tmp_path_factory.mktemp('in')}/events.parquet"
+    if request.param == "file":
+        shutil.copy(f"{SMALL}/events.parquet", folder)
+        return folder
     events = spark.read.parquet(f"{SMALL}/events.parquet")
-    folder = f"{tmp_path}/in"
-    for i in range(3):
-        events.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(folder)
+    if request.param == "folder":
+        events.coalesce(1).write.parquet(folder)
+    else:
+        for i in (3, 0, 5, 1, 4, 2):
+            events.where(f"event_id % 6 = {i}").coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
@@ -23,32 +31,35 @@ def table(df):
     return sorted(tuple(r) for r in df.select("window_start", "sample_id", "n", "steps", "moving", "still", "total").collect())
 
 
-def events(spark, folder):
-    return spark.read.schema(live.EVENT_SCHEMA).parquet(folder).selectExpr(
-        "user_id as sample_id", "cast(ts as timestamp) as ts", "event_id", "cast(get_json_object(props, '$.k') as double) as el_power"
+def whole(spark):
+    events = spark.read.schema(live.EVENT_SCHEMA).parquet(f"{SMALL}/events.parquet").selectExpr(
+        "user_id as sample_id", "cast(ts as timestamp) as ts", "event_id", "cast(get_json_object(props, '$.k') as double) as value"
     )
+    return live.slice_scores(live.with_slice(events, "1 day"), RULE)
 
 
-@pytest.mark.parametrize("length", ["3 hours", "1 day"])
-def test_stream_equals_batch(spark, arrivals, tmp_path, length):
-    stream = live.read_event_stream(spark, arrivals, "*.parquet", files_per_trigger=1)
-    slices = live.slice_scores(stream, RULE, "el_power", length, "60 days")
-    live.keep_slices(slices, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+@pytest.mark.parametrize(("length", "files"), [("3 hours", 1000), ("1 day", 1), ("6 hours", 2)])
+def test_stream_equals_batch(spark, arrivals, tmp_path, length, files):
+    """No row is lost, whatever the files and the rows' order."""
+    stream = live.read_event_stream(spark, arrivals, files_per_trigger=files)
+    live.keep_slices(stream, f"{tmp_path}/out", f"{tmp_path}/state", RULE, "el_power", length).awaitTermination()
     kept = live.window_scores(live.latest_slices(spark, f"{tmp_path}/out"), RULE, "1 day")
-    whole = live.slice_scores(events(spark, arrivals), RULE, "el_power", "1 day", "60 days")
-    expected = table(live.window_scores(whole, RULE, "1 day"))
+    expected = table(live.window_scores(whole(spark), RULE, "1 day"))
     got = table(kept)
-    assert len(expected) > 300 and [r[:4] for r in got] == [r[:4] for r in expected]
+    assert len(expected) > 300 and sum(r[2] for r in got) == 1000 and [r[:4] for r in got] == [r[:4] for r in expected]
     assert [r[4:] for r in got] == [pytest.approx(r[4:]) for r in expected]
     total = live.total_score(kept, RULE, ()).first()
     assert total["loss_tgds"] == pytest.approx(2.0 * sum(r[6] for r in expected) / sum(r[3] for r in expected))
 
 
-def test_log_appends_closed_slices_only(spark, arrivals, tmp_path):
-    stream = live.read_event_stream(spark, arrivals, "*.parquet")
-    log = live.slice_scores(stream, RULE, "el_power", "1 day", "2 days")
-    live.append_log(log, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
-    rows = spark.read.parquet(f"{tmp_path}/log")
-    newest = events(spark, arrivals).selectExpr("max(ts)").first()[0]
-    assert rows.count() > 300
-    assert rows.selectExpr("max(slice_end)").first()[0] <= newest
+def test_closed_slices(spark, arrivals, tmp_path):
+    """With a delay, only slices that ended that long before the newest row; without, all."""
+    stream = live.read_event_stream(spark, arrivals, files_per_trigger=1)
+    live.keep_slices(stream, f"{tmp_path}/out", f"{tmp_path}/state", RULE, "el_power", "1 day").awaitTermination()
+    every = live.closed_slices(spark, f"{tmp_path}/out", None)
+    closed = live.closed_slices(spark, f"{tmp_path}/out", "2 days")
+    assert every.selectExpr("sum(n)").first()[0] == 1000
+    late = every.join(closed, ["slice_start", "sample_id"], "left_anti")
+    assert 0 < late.count() < every.count()
+    newest = every.selectExpr("max(newest) - interval 2 days").first()[0]
+    assert late.selectExpr("min(slice_end)").first()[0] > newest >= closed.selectExpr("max(slice_end)").first()[0]

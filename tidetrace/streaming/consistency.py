@@ -2,29 +2,32 @@
 
 A batch of the score is one series in one tumbling event-time window. The stream keeps windows as slices: a slice is scored
 from its own rows and remembers its first and last value, and ``window_scores`` adds the steps between slices when the
-result is read. State holds the rows of open slices only, so the slice is chosen from the rate of the fastest series and
-the window from the question.
+result is read.
+
+Each trigger appends its rows to a store and scores the slices they belong to anew, from all of their stored rows. So the
+scores don't depend on the order in which rows arrive or on how many files a trigger takes, no row is ever too late, and
+no state is held between triggers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidetrace.functions.physics import TwoState
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+_STORED = "slice_start TIMESTAMP, slice_end TIMESTAMP, sample_id BIGINT, ts TIMESTAMP, event_id BIGINT, value DOUBLE, batch BIGINT"
 
 
-def read_event_stream(spark: SparkSession, folder: str, glob: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Events of the matching files as ``(sample_id, ts, event_id, input_voltage, el_power)``."""
-    rows = (
-        spark.readStream.schema(EVENT_SCHEMA)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Events of a table, one file or a folder of them, as ``(sample_id, ts, event_id, input_voltage, el_power)``.
+
+    A stream takes a single file only where the path is a pattern, so the last character is made one.
+    """
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    rows = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
     return rows.select(
         F.col("user_id").alias("sample_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -34,33 +37,26 @@ def read_event_stream(spark: SparkSession, folder: str, glob: str, files_per_tri
     )
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
-
-
-def slice_scores(rows: DataFrame, rule: TwoState, value: str, length: str, delay: str) -> DataFrame:
-    """Per (series, slice): rows, both error sums over the steps inside, first and last value. For streams and tables.
-
-    ``lag`` is not available on streams; the rows of a slice are sorted in an array and neighbours are subtracted.
-    """
-    entry = F.struct("ts", "event_id", F.col(value).alias("v"))
-    grouped = (
-        rows.withWatermark("ts", delay)
-        .groupBy(F.window("ts", length).alias("w"), "sample_id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    )
-    v = F.col("e.v")
-    size = F.size(v)
-    steps = F.zip_with(F.slice(v, 2, size), F.slice(v, 1, size - 1), lambda a, b: F.abs(a - b))
-    return grouped.select(
-        F.col("w.start").alias("slice_start"),
-        F.col("w.end").alias("slice_end"),
-        "sample_id",
-        size.cast("bigint").alias("n"),
-        _sum(F.transform(steps, rule.moving_error)).alias("moving"),
-        _sum(F.transform(steps, rule.static_error)).alias("still"),
-        v[0].alias("first"),
-        F.element_at(v, -1).alias("last"),
+def with_slice(rows: DataFrame, length: str) -> DataFrame:
+    """Adds the start and end of each row's slice."""
+    window = F.window("ts", length)
+    return rows.withColumns({"slice_start": window["start"], "slice_end": window["end"]})
+
+
+def slice_scores(rows: DataFrame, rule: TwoState, value: str = "value") -> DataFrame:
+    """Per (series, slice): rows, both error sums over the steps inside, first and last value, newest time."""
+    keys = ["slice_start", "slice_end", "sample_id"]
+    place = F.struct("ts", "event_id")
+    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    steps = rows.withColumn("d", F.abs(F.col(value) - F.lag(value).over(order)))
+    total = lambda error: F.coalesce(F.sum(F.when(F.col("d").isNotNull(), error(F.col("d")))), F.lit(0.0))
+    return steps.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        total(rule.moving_error).alias("moving"),
+        total(rule.static_error).alias("still"),
+        F.min_by(value, place).alias("first"),
+        F.max_by(value, place).alias("last"),
+        F.max("ts").alias("newest"),
     )
 
 
@@ -98,14 +94,28 @@ def total_score(scores: DataFrame, rule: TwoState, keys: tuple[str, ...] = ("sam
     )
 
 
-def keep_slices(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each trigger's changed slices below ``path``, one folder per trigger, so a repeated trigger replaces its own."""
+def keep_slices(
+    rows: DataFrame, path: str, checkpoint: str, rule: TwoState, value: str, length: str
+) -> StreamingQuery:
+    """Store the stream's rows below ``path/rows`` and the scores of the slices each trigger touches below ``path/scores``.
+
+    Each trigger has folders of its own, which a repeated trigger replaces.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        placed = with_slice(batch, length).select(
+            "slice_start", "slice_end", "sample_id", "ts", "event_id", F.col(value).alias("value")
+        )
+        placed.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        stored = spark.read.schema(_STORED).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+        own = stored.where(F.col("batch") == batch_id).select("slice_start", "sample_id").distinct()
+        touched = stored.where(F.col("batch") <= batch_id).join(own, ["slice_start", "sample_id"], "left_semi")
+        scored = slice_scores(touched if batch_id else stored.where(F.col("batch") == 0), rule)
+        scored.write.mode("overwrite").parquet(f"{path}/scores/batch={batch_id}")
 
     return (
-        scores.writeStream.outputMode("update")
+        rows.writeStream.outputMode("append")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -115,19 +125,16 @@ def keep_slices(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 def latest_slices(spark: SparkSession, path: str) -> DataFrame:
     """The newest score of each slice from ``keep_slices``."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(f"{path}/scores")
     values = [c for c in rows.columns if c not in ("batch", "slice_start", "sample_id")]
     newest = F.max_by(F.struct(*values), "batch").alias("s")
     return rows.groupBy("slice_start", "sample_id").agg(newest).select("slice_start", "sample_id", "s.*")
 
 
-def append_log(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each slice to a Parquet log once the watermark has passed its end."""
-    return (
-        scores.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def closed_slices(spark: SparkSession, path: str, delay: str | None) -> DataFrame:
+    """The slices that ended at least ``delay`` before the newest row; all of them when the input has ended (no delay)."""
+    slices = latest_slices(spark, path)
+    if delay is None:
+        return slices
+    newest = slices.agg(F.max("newest")).scalar()
+    return slices.where(F.col("slice_end") <= newest - F.expr(f"interval {delay}"))
