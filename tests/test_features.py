@@ -83,9 +83,48 @@ def test_run_lists_in_parts(series):
     runs = segments.value_runs(df, "y", layout=Layout(longest=0))
     whole = segments.run_lists(runs, "y", "run_id")
     parts = segments.run_lists(runs, "y", "run_id", part_ticks=2)
-    assert parts.agg(F.max("length")).first()[0] <= 2
-    joined = parts.groupBy("sample_id", "run_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "items"))).items).alias("items"))
-    assert rows_of(joined, "sample_id", "run_id", "items") == rows_of(whole, "sample_id", "run_id", "items")
+    assert parts.agg(F.max(F.size("items"))).first()[0] == 2
+    joined = parts.groupBy("sample_id", "run_id", "length").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "items"))).items).alias("items"))
+    assert rows_of(joined, "sample_id", "run_id", "items", "length") == rows_of(whole, "sample_id", "run_id", "items", "length")
+
+
+def test_a_long_run_has_its_whole_length(spark):
+    ticks = spark.range(90_000).selectExpr("1L as sample_id", "id as time", "if(id < 15000, id % 2, if(id < 85000, 5, 6)) as y")
+    runs = segments.value_runs(ticks, "y", layout=Layout(longest=0))
+    got = segments.run_lists(runs, "y", "run_id").where("items[0] >= 5")
+    assert rows_of(got.select("part", "length", F.size("items").alias("n")), "part", "length", "n") == [
+        (0, 5_000, 5_000), (0, 70_000, 65_536), (1, 70_000, 4_464)
+    ]
+
+
+GAPS = [(k, t, float(t % 7)) for k, first in ((1, 0), (2, 810)) for t in range(first, first + 60) if t % 4 != 3]
+
+
+@pytest.mark.parametrize("layout", [Layout(longest=0), Layout(chunk=16), Layout(chunk=5)])
+def test_gaps_between_ticks(spark, layout):
+    """Look-backs, batches and tails count rows, wherever ticks begin and whatever is missing."""
+    df = spark.createDataFrame(GAPS, "sample_id long, time long, y double")
+    own = {k: [(t, y) for s, t, y in GAPS if s == k] for k in (1, 2)}
+    lagged = features.lag_features(df, ["y"], 4, 1, layout)
+    expected = [(k, t, v[i - 4][1], y) for k, v in own.items() for i, (t, y) in enumerate(v) if i >= 4]
+    assert rows_of(lagged, "sample_id", "time", "y_t_minus_4", "y_t") == expected
+    arrays = features.lag_array(df, "y", 5, layout=layout)
+    assert rows_of(arrays.select("sample_id", "time", F.col("features")[0].alias("a"), F.col("features")[4].alias("b")), "sample_id", "time", "a", "b") == expected
+    assert rows_of(features.align_tail(df, 5, layout), "sample_id", "time") == [r[:2] for r in expected]
+    numbered = [(k, t, i, i // 16) for i, (k, t, _) in enumerate(GAPS)]
+    assert rows_of(batch_blocks(df, 16, layout=layout), "sample_id", "time", "row_no", "batch_no") == numbered
+    each = [(k, t, i, i // 16) for k, v in own.items() for i, (t, _) in enumerate(v)]
+    assert rows_of(batch_blocks(df, 16, "sample", layout), "sample_id", "time", "row_no", "batch_no") == each
+
+
+def test_nan_drops_the_same_rows_in_both_lag_forms(spark):
+    rows = [(1, t, float("nan") if t == 3 else None if t == 8 else float(t)) for t in range(14)]
+    df = spark.createDataFrame(rows, "sample_id long, time long, y double")
+    layout = Layout(longest=0)
+    columns = features.lag_features(df, ["y"], 1, 1, layout)
+    assert rows_of(features.lag_array(df, "y", 2, layout=layout), "time") == rows_of(columns, "time") == [
+        (t,) for t in range(1, 14) if t not in (3, 4, 8, 9)
+    ]
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)

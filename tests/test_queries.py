@@ -91,7 +91,6 @@ def test_segments_need_one_shuffle_of_the_rows(spark):
 def test_filter_on_the_series_reaches_the_scan(spark):
     from tidetrace.operators.features import lag_features
     from tidetrace.plans import views
-from tidetrace.plans.queries import QUERIES
 
     rows, layout = views.signals(spark, SMALL)
     lagged = lag_features(rows, ["el_power"], 3, 1, layout).where("sample_id = 4")

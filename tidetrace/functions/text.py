@@ -36,7 +36,10 @@ def parse_duration(text: Column) -> Column:
 
 
 def json_merge(left: Column, right: Column) -> Column:
-    """Union of two flat JSON objects as a string map; the right side wins on shared keys."""
-    kind = "map<string,string>"
-    a, b = F.from_json(left, kind), F.from_json(right, kind)
+    """Union of two JSON objects as a string map; the right side wins on shared keys, nested values become text.
+
+    A side that is null or not an object adds nothing.
+    """
+    kind, none = "map<string,string>", F.create_map().cast("map<string,string>")
+    a, b = (F.coalesce(F.from_json(side, kind), none) for side in (left, right))
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetrace.functions.physics import TwoState
-from tidetrace.plans.layout import SIGNALS, Layout, running
+from tidetrace.plans.layout import SIGNALS, Layout, running, with_rows
 
 BATCH_ROWS = 128
 ID_BLOCK = 1 << 16
@@ -40,9 +40,14 @@ def batch_blocks(
     """Add ``row_no`` and ``batch_no``: consecutive blocks of ``batch_size`` rows in (series, tick) order.
 
     ``boundary="batch"`` runs the blocks across series, as mini-batches of concatenated series do. ``boundary="sample"``
-    starts each series on a new block; ``row_no`` is then the tick and ``batch_no`` counts within the series.
-    Ticks are dense. ``sizes`` (``length`` and ``first_tick`` of each series) saves a pass over ``df``.
+    starts each series on a new block; ``row_no`` is then the tick and ``batch_no`` counts within the series. Where ticks are
+    not dense, rows are numbered first and stand for ticks. ``sizes`` (``length`` and ``first_tick`` of each series) saves a
+    pass over ``df``.
     """
+    columns = df.columns
+    if not layout.dense:
+        df, layout = with_rows(df, layout)
+        sizes = sizes and sizes.withColumn("first_tick", F.lit(0))
     if boundary == "sample":
         row = F.col(layout.tick)
         placed = df
@@ -56,7 +61,7 @@ def batch_blocks(
     return (
         placed.withColumn("row_no", row.cast("bigint"))
         .withColumn("batch_no", F.floor(F.col("row_no") / batch_size).cast("bigint"))
-        .select(*df.columns, "row_no", "batch_no")
+        .select(*columns, "row_no", "batch_no")
     )
 
 

@@ -22,9 +22,6 @@ DEFAULTS = {"theta": 1000.0, "tgds_ratio": 0.6, "loss_tolerance": 0.0, "steepnes
 PLAIN_LOSS = "mean_squared_error"
 TWO_STATE_LOSS = "soft_weighted_two_state"
 
-PART_TICKS = 1 << 16
-
-
 def grid_settings() -> list[dict]:
     """The settings of one run; keys left out take the defaults."""
 
@@ -98,15 +95,16 @@ def project_results(df: DataFrame) -> DataFrame:
     return df.select("loss_function", "n_train_samples", "test_rmse_mean", "folder")
 
 
-def nest_predictions(df: DataFrame, layout: Layout = SIGNALS, part_ticks: int = PART_TICKS) -> DataFrame:
-    """Ordered ``true`` and ``pred`` lists per series, in parts of ``part_ticks`` ticks so that a long series fits in rows.
+def nest_predictions(df: DataFrame, layout: Layout = SIGNALS, part_ticks: int | None = None) -> DataFrame:
+    """Ordered ``true`` and ``pred`` lists, one row per series.
 
-    A series of at most ``part_ticks`` ticks is one row with part 0.
+    Given ``part_ticks``, a series has a row for each of its parts of so many ticks instead, so that one that is too long for
+    a row can be stored. ``part`` counts them.
     """
     entry = F.struct(layout.tick, "y_true", "y_pred")
-    part = F.floor(F.col(layout.tick) / part_ticks).cast("bigint").alias("part")
+    part = F.floor(F.col(layout.tick) / part_ticks).cast("bigint") if part_ticks else F.lit(0).cast("bigint")
     return (
-        df.groupBy(*layout.keys, part)
+        df.groupBy(*layout.keys, part.alias("part"))
         .agg(F.sort_array(F.collect_list(entry)).alias("e"))
         .select(
             *layout.keys,

@@ -78,17 +78,24 @@ def rename_lags(df: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def lag_array(df: DataFrame, column: str, lag: int, out: str = "features", layout: Layout = SIGNALS) -> DataFrame:
-    """The last ``lag`` values up to each tick as one array, oldest first. One window whatever the lag."""
+    """The last ``lag`` values up to each row as one array, oldest first. One window whatever the lag.
+
+    As in ``lag_features``, rows without a full history, or with a null or NaN in it, are dropped.
+    """
 
     def history(window):
         return {out: F.collect_list(column).over(window.rowsBetween(-(lag - 1), Window.currentRow))}
 
-    return windowed(df, layout, history, before=lag - 1).where(F.size(out) == lag)
+    full = F.size(out) == lag
+    if dict(df.dtypes)[column] in ("float", "double"):
+        full &= ~F.exists(out, lambda v: F.isnan(v))
+    return windowed(df, layout, history, before=lag - 1).where(full)
 
 
 def align_tail(df: DataFrame, lag: int, layout: Layout = SIGNALS) -> DataFrame:
-    """Rows that have a full history of ``lag`` ticks: those a lag model predicts."""
-    return df.where(F.col(layout.tick) >= lag - 1)
+    """Rows that have a full history of ``lag`` rows: those a lag model predicts."""
+    rows = windowed(df, layout, lambda w: {"_far": F.lag(layout.tick, lag - 1).over(w)}, before=lag - 1)
+    return rows.where(F.col("_far").isNotNull()).drop("_far")
 
 
 def align_xy(features: DataFrame, target: DataFrame, layout: Layout = SIGNALS) -> DataFrame:

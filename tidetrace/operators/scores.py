@@ -78,12 +78,13 @@ def results_rollup(
     )
 
 
-def poisson_cdf(terms: int = 10) -> list[float]:
-    """P(X <= k) of a Poisson variable with mean 1, k below ``terms``."""
-    total, out = 0.0, []
-    for k in range(terms):
+def poisson_cdf() -> list[float]:
+    """P(X <= k) of a Poisson variable with mean 1, up to the last k that a draw of 32 bits can tell from the next one."""
+    total, out, k = 0.0, [], 0
+    while 1 - total > 2.0**-32:
         total += math.exp(-1) / math.factorial(k)
         out.append(total)
+        k += 1
     return out
 
 

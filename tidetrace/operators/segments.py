@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetrace.plans.layout import SIGNALS, Layout, running, windowed
@@ -64,23 +64,26 @@ def sample_lengths(df: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
 
 
 def run_lists(
-    df: DataFrame, column: str, group: str, layout: Layout = SIGNALS, part_ticks: int = LIST_TICKS
+    df: DataFrame, column: str, group: str, layout: Layout = SIGNALS, part_ticks: int | None = None
 ) -> DataFrame:
     """Values of each run or segment as ordered lists, in parts of at most ``part_ticks`` ticks.
 
-    ``part`` counts blocks of ticks of the series, so a run that covers several blocks has one row for each and no list
-    outgrows a row; most runs have one.
+    ``part`` counts from the run's own first tick, so a run of up to ``part_ticks`` ticks is one list wherever it lies.
+    ``length`` is the number of rows of the whole run.
     """
-    part = F.floor(F.col(layout.tick) / part_ticks).cast("bigint")
-    entry = F.struct(F.col(layout.tick).alias("t"), F.col(column).alias("v"))
-    return (
-        df.groupBy(*layout.keys, group, part.alias("part"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select(
-            *layout.keys,
-            group,
-            "part",
-            F.transform("entries", lambda e: e["v"]).alias("items"),
-            F.size("entries").cast("bigint").alias("length"),
-        )
+    part_ticks = part_ticks or LIST_TICKS
+    tick = F.col(layout.tick)
+    rows = windowed(df, layout, lambda w: {"_previous": F.lag(group).over(w)}, before=1)
+    begins = F.when(F.col("_previous").isNull() | (F.col("_previous") != F.col(group)), tick)
+    rows = running(rows, layout, {"_first": ("max", begins)})
+    part = F.floor((tick - F.col("_first")) / part_ticks).cast("bigint")
+    entry = F.struct(tick.alias("t"), F.col(column).alias("v"))
+    parts = rows.groupBy(*layout.keys, group, part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    run = Window.partitionBy(*layout.keys, group)
+    return parts.select(
+        *layout.keys,
+        group,
+        "part",
+        F.transform("entries", lambda e: e["v"]).alias("items"),
+        F.sum(F.size("entries")).over(run).alias("length"),
     )

@@ -12,7 +12,8 @@ into chunks of consecutive ticks, so a window never sees more than one chunk:
 
 All give the same rows as the plain window. ``Layout.longest`` is the known bound on the length of a series (the
 ``max_length`` of the dataset's sidecar, or one measured by ``measure``); when it fits in one chunk the plain window is used.
-Ticks are dense integers from 0 wherever a look-back is counted in rows.
+Look-backs are counted in rows. ``Layout.dense`` states that ticks are consecutive integers, so that they count the rows;
+otherwise rows are numbered before a series is cut.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ HOT_GROUPS = 100_000
 CUTS = 3
 
 _CHUNK = "_chunk"
+_ROW = "_row"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Layout:
     tick: str = "time"
     chunk: int = CHUNK_TICKS
     longest: int | None = None
+    dense: bool = False
 
     @property
     def split(self) -> bool:
@@ -81,9 +84,12 @@ def windowed(
     before: int = 0,
     after: int = 0,
 ) -> DataFrame:
-    """Add columns computed over a window that reaches at most ``before`` ticks back and ``after`` ticks ahead."""
+    """Add columns computed over a window that reaches at most ``before`` rows back and ``after`` rows ahead."""
     if not layout.split:
         return df.select("*", *[c.alias(name) for name, c in columns(layout.window()).items()])
+    if not layout.dense:
+        numbered, by_row = with_rows(df, layout)
+        return windowed(numbered, by_row, columns, before, after).drop(_ROW)
     first = F.greatest(layout.chunk_of(-after), F.lit(0).cast("bigint"))
     reach = df.withColumn(_CHUNK, F.explode(F.sequence(first, layout.chunk_of(before))))
     window = Window.partitionBy(*layout.keys, _CHUNK).orderBy(layout.tick)
@@ -91,6 +97,13 @@ def windowed(
     return reach.select("*", *named).where(F.col(_CHUNK) == layout.chunk_of()).drop(_CHUNK)
 
 
+def with_rows(df: DataFrame, layout: Layout) -> tuple[DataFrame, Layout]:
+    """``df`` with the rows of each series numbered from 0, and a layout that has them as ticks."""
+    size = None if layout.split else Size(layout.longest, 0, 0)
+    numbered = ordinals(df, layout.keys, (layout.tick,), _ROW, size, layout.chunk)
+    return numbered, replace(layout, tick=_ROW, dense=True)
+
+
 _TOTAL = {
     "sum": lambda value, tick: F.sum(value),
     "min": lambda value, tick: F.min(value),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidetrace.functions.physics import TwoState
-from tidetrace.operators import experiments
+from tidetrace.operators import experiments, segments
 from tidetrace.operators.consistency import BATCH_ROWS
 from tidetrace.operators.scores import EPSILON, poisson_cdf
 from tidetrace.plans import queries as q
@@ -115,7 +115,7 @@ WITH config AS (
 result AS (
   SELECT o_custkey AS folder, avg(o_totalprice) AS test_rmse_mean,
          CASE WHEN o_custkey % 2 = 0 THEN 'result' END AS origin
-  FROM orders WHERE o_custkey % 5 <> 0 GROUP BY o_custkey),
+  FROM orders GROUP BY o_custkey),
 joined AS (
   SELECT c.folder, coalesce(r.origin, c.origin) AS origin, loss_function, n_train_samples, test_rmse_mean
   FROM config c JOIN result r ON c.folder = r.folder)"""
@@ -322,7 +322,7 @@ SELECT {dbl(_ILO)} AS input_lo, {dbl(_IHI)} AS input_hi, {dbl(_LO)} AS output_lo
        (SELECT max(time) + 1 FROM levels) AS max_length FROM segments""",
     "write_signals": SIGNALS + "\nSELECT sample_id, time, input_voltage, el_power FROM signals",
     "write_true_pred": PREDICTIONS + f"""
-SELECT sample_id, time // {experiments.PART_TICKS} AS part, count(*) AS n,
+SELECT sample_id, CAST(0 AS BIGINT) AS part, count(*) AS n,
        string_agg(CAST(CAST(y_true AS BIGINT) AS VARCHAR), ',' ORDER BY time) AS true_values,
        string_agg(CAST(CAST(y_pred AS BIGINT) AS VARCHAR), ',' ORDER BY time) AS pred_values
 FROM predictions GROUP BY ALL""",
@@ -378,7 +378,7 @@ ASOF JOIN points p ON l.sample_id = p.sample_id AND l.time >= p.time""",
     "tgds_sweep": SWEEP,
     "regression_metrics": SCORED + f"""
 SELECT sample_id, n, {r6('mse', 'mse')}, {r6('rmse', 'rmse')}, {r6('r2', 'r2')}, {r6('mae', 'mae')},
-       {r6('maxae', 'maxae')}, CASE WHEN mape > 1e6 THEN round(mape / 1e12) ELSE round(mape, 6) END AS mape
+       {r6('maxae', 'maxae')}, {q.SIGNIFICANT.format('mape')} AS mape
 FROM metrics""",
     "trimmed_rmse": SCORED + """,
 ranked AS (
@@ -405,12 +405,14 @@ bands AS (
   SELECT loss_function, n_train_samples, quantile_cont(rep_mean, {_TAIL!r}) AS ci_low,
          quantile_cont(rep_mean, {1 - _TAIL!r}) AS ci_high FROM reps GROUP BY ALL),
 means AS (SELECT loss_function, n_train_samples, avg(test_rmse_mean) AS mean FROM joined GROUP BY ALL)
-SELECT loss_function, n_train_samples, round(mean + 1e-7, 4) AS mean, round(ci_low + 1e-7, 4) AS ci_low,
-       round(ci_high + 1e-7, 4) AS ci_high
+SELECT loss_function, n_train_samples, {q.SIGNIFICANT.format('mean')} AS mean, {q.SIGNIFICANT.format('ci_low')} AS ci_low,
+       {q.SIGNIFICANT.format('ci_high')} AS ci_high
 FROM means JOIN bands USING (loss_function, n_train_samples)""",
-    "run_lists": RUNS + """
-SELECT sample_id, run_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(el_power AS VARCHAR), ',' ORDER BY time) AS items,
-       count(*) AS length FROM runs GROUP BY sample_id, run_id""",
+    "run_lists": RUNS + f""",
+placed AS (SELECT *, min(time) OVER r AS first, count(*) OVER r AS length FROM runs WINDOW r AS (PARTITION BY sample_id, run_id))
+SELECT sample_id, run_id, (time - first) // {segments.LIST_TICKS} AS part,
+       string_agg(CAST(el_power AS VARCHAR), ',' ORDER BY time) AS items, length
+FROM placed GROUP BY sample_id, run_id, part, length""",
     "segment_stats": SEGMENTS + """
 SELECT max(length) FILTER (WHERE is_static) AS max_static_size, max(length) FILTER (WHERE NOT is_static) AS max_lag,
        (SELECT max(time) + 1 FROM levels) AS max_length FROM segments""",
@@ -448,7 +450,7 @@ SELECT sample_id, time, row_no, row_no // {BATCH_ROWS} AS batch_no FROM (
     "running_batch_loss": BATCHES + f"""
 SELECT run_id, epoch, batch, loss, n,
        {r6('sum(loss * n) OVER w / sum(n) OVER w', 'running_loss')}
-FROM batches WHERE NOT isnan(loss)
+FROM batches
 WINDOW w AS (PARTITION BY run_id, epoch ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "checkpoint_epochs": HISTORY + "\nSELECT run_id, epoch, val_loss FROM improved WHERE better",
     "early_stop_epoch": HISTORY + f""",
@@ -513,8 +515,7 @@ SELECT sample_id, {r6('sum(total)', 'total')}, CAST(sum(steps) AS BIGINT) AS ste
        {r6(f'sum(total) / sum(steps) * {dbl(q.STREAM_RULE.theta)}', 'loss_tgds')} FROM weighed GROUP BY sample_id""",
     "stream_batch_log": WINDOWED + f"""
 SELECT sample_id, CAST(epoch(day) AS BIGINT) AS window_start, n, steps, {r6('moving', 'moving')}, {r6('still', 'still')},
-       {r6('total', 'total')} FROM weighed
-WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""",
+       {r6('total', 'total')} FROM weighed""",
     "fit_lag_baseline": FITTED + f"""
 SELECT term, round(value, 6) AS value FROM (
   SELECT 'intercept' AS term, b AS value FROM model UNION ALL SELECT 'input_voltage_t_minus_1', w1 FROM model

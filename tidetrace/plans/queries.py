@@ -26,7 +26,7 @@ RULE = TwoState(steepness=0.07, tolerance=0.1, theta=2.0, ratio=0.6)
 NORMALIZED_RULE = TwoState(steepness=0.2, tolerance=0.25, theta=0.4, ratio=3.0, normalized=True)
 METRIC_RULE = TwoState(steepness=0.07, tolerance=0.0, theta=1000.0, ratio=0.6)
 STREAM_RULE = TwoState(steepness=20.0, tolerance=0.1, theta=1.0, ratio=0.6)
-STREAM_SLICE, STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 day", "2 days"
+STREAM_SLICE, STREAM_WINDOW = "6 hours", "1 day"
 RESPONSE_STEEPNESS = 30.0
 PATIENCE = history.patience_for(50)
 REPS, LEVEL = 200, 0.68
@@ -35,6 +35,12 @@ VAL_FRAC = 0.1
 FIT_TRAIN, FIT_STEPS = 8, 3
 GUIDED_RULE = TwoState(steepness=0.05, tolerance=0.1, theta=3.0, ratio=0.6)
 
+# Nine significant digits of a number that isn't negative, in any SQL.
+SIGNIFICANT = (
+    "case when {0} = 0 then {0} when {0} < 1e9 then round({0} * pow(10, 8 - floor(log10({0})))) / pow(10, 8 - floor(log10({0}))) "
+    "else round({0} / pow(10, floor(log10({0})) - 8)) * pow(10, floor(log10({0})) - 8) end"
+)
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -369,11 +375,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query
 def regression_metrics(spark, sf_dir):
     rows, _ = views.predictions(spark, sf_dir)
-    # The relative error is huge where the truth is 0, so it keeps fewer places: 9 significant digits.
     out = scores.regression_metrics(rows)
-    return _rounded(out, "mse", "rmse", "r2", "mae", "maxae").withColumn(
-        "mape", F.when(F.col("mape") > 1e6, F.round(F.col("mape") / 1e12)).otherwise(r6("mape"))
-    )
+    # The relative error is huge where the truth is 0: significant digits, not places.
+    return _rounded(out, "mse", "rmse", "r2", "mae", "maxae").withColumn("mape", F.expr(SIGNIFICANT.format("mape")))
 
 
 @query
@@ -401,8 +405,7 @@ def bootstrap_ci(spark, sf_dir):
     out = scores.bootstrap_ci(
         _joined(spark, sf_dir), ("loss_function", "n_train_samples"), "test_rmse_mean", "folder", REPS, LEVEL
     )
-    # Interpolated bounds often end in an exact 5; the nudge keeps the last bit of a sum from deciding the rounding.
-    return out.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("mean", "ci_low", "ci_high")})
+    return out.withColumns({c: F.expr(SIGNIFICANT.format(c)) for c in ("mean", "ci_low", "ci_high")})
 
 
 @query
@@ -507,7 +510,7 @@ def batch_blocks(spark, sf_dir):
 
 @query
 def running_batch_loss(spark, sf_dir):
-    rows = views.batch_history(spark, sf_dir).where(~F.isnan("loss"))
+    rows = views.batch_history(spark, sf_dir)
     layout = replace(history.BATCHES, longest=10)
     return _rounded(history.running_batch_loss(rows, layout), "running_loss")
 
@@ -698,26 +701,24 @@ def json_merge(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _live_slices(spark: SparkSession, sf_dir: str, length: str) -> DataFrame:
-    rows = live.read_event_stream(spark, sf_dir, "events.parquet")
-    return live.slice_scores(rows, STREAM_RULE, "el_power", length, STREAM_DELAY)
+def _keep_slices(spark: SparkSession, sf_dir: str, length: str) -> str:
+    rows = live.read_event_stream(spark, f"{sf_dir}/events.parquet")
+    path, state = scratch_path(spark, "stream-slices"), scratch_path(spark, "stream-state")
+    live.keep_slices(rows, path, state, STREAM_RULE, "el_power", length).awaitTermination()
+    return path
 
 
 @query
 def stream_tgds(spark, sf_dir):
-    path = scratch_path(spark, "stream-slices")
-    slices = _live_slices(spark, sf_dir, STREAM_SLICE)
-    live.keep_slices(slices, path, scratch_path(spark, "stream-state")).awaitTermination()
+    path = _keep_slices(spark, sf_dir, STREAM_SLICE)
     windows = live.window_scores(live.latest_slices(spark, path), STREAM_RULE, STREAM_WINDOW)
     return _rounded(live.total_score(windows, STREAM_RULE), "total", "loss_tgds")
 
 
 @query
 def stream_batch_log(spark, sf_dir):
-    path = scratch_path(spark, "stream-log")
-    slices = _live_slices(spark, sf_dir, STREAM_WINDOW)
-    live.append_log(slices, path, scratch_path(spark, "stream-state")).awaitTermination()
-    log = live.window_scores(spark.read.parquet(path), STREAM_RULE, STREAM_WINDOW)
+    path = _keep_slices(spark, sf_dir, STREAM_WINDOW)
+    log = live.window_scores(live.closed_slices(spark, path, delay=None), STREAM_RULE, STREAM_WINDOW)
     return _rounded(log, "moving", "still", "total").select(
         "sample_id", F.unix_seconds("window_start").alias("window_start"), "n", "steps", "moving", "still", "total"
     )
