@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from cases import ODD, SCHEMA, table
 from pyspark.sql import functions as F
 
@@ -51,9 +52,9 @@ def texts():
     fresh = lambda n: [word() for _ in range(n)]
     out = [" ".join(fresh(draw.randint(1, 60))) for _ in range(60)]
     base = fresh(80)
-    for _ in range(120):
+    for _ in range(160):
         copy = list(base)
-        for _ in range(draw.randint(0, 4)):
+        for _ in range(draw.randint(1, 5)):
             copy[draw.randrange(80)] = word()
         out.append(" ".join(copy))
     chain = fresh(70)
@@ -64,7 +65,11 @@ def texts():
     return list(enumerate(out))
 
 
-def test_against_all_pairs(spark, tmp_path):
+@pytest.mark.parametrize("block", [512, 3])
+def test_against_all_pairs(spark, tmp_path, monkeypatch, block):
+    """Whatever the size of the blocks in which a bucket's members are compared, and however ids are joined."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(minhash, "SENT_IDS", 0 if block == 3 else 1 << 20)
     rows = texts()
     got = minhash.near_duplicates(table(spark, rows, "id long, text string", tmp_path)).collect()
     assert {r.id: (r.n_shingles, r.component) for r in got} == brute(rows)

@@ -30,9 +30,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.where("u > v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(hashed), F.sum(F.shiftrightunsigned(hashed, 20))).first())
+def _done(edges: DataFrame) -> bool:
+    """Every node is on one side of the links only, and no larger node has two smaller ones."""
+    twice = edges.groupBy("u").count().where("count > 1").select("u")
+    middle = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return twice.union(middle).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,12 +45,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     larger = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars = written(larger.distinct(), "edges")
-    before = _state(stars)
-    while before[0]:
+    while not _done(stars):
         stars = written(_small_star(written(_large_star(stars), "stars")), "stars")
-        after = _state(stars)
-        if after == before:
-            break
-        before = after
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return written(found.union(found.select("component", "component").distinct()), "components")
+
+
+def extended(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of the edges that gave ``found`` and of more ``edges``."""
+    edges = written(edges, "more")
+    if edges.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges))

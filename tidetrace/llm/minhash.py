@@ -3,9 +3,9 @@
 A document is the set of its distinct runs of five words. Documents with the same set are one class from the start. Classes
 get the minima of many universal hashes of their sets; those with equal minima in a whole band meet in a bucket.
 
-A bucket's links are found without writing out its pairs: every member is compared with the bucket's smallest, then, with
-what that has connected, only members of different components. Compared pairs first pass a check of their signatures, wide
-enough to let every linked pair through, then the exact one on the full sets. The groups are the connected components.
+A bucket's links are found without writing out its pairs: every member is compared with the bucket's smallest, then those
+which that has not connected with all, block by block. Compared pairs first pass a check of their signatures, wide enough to
+let linked pairs through, then the exact one on the full sets. The groups are the connected components.
 """
 
 from __future__ import annotations
@@ -15,26 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidetrace.llm import shingles
 from tidetrace.llm.common import written
-from tidetrace.llm.components import components
+from tidetrace.llm.components import components, extended
 
 
 @dataclass(frozen=True)
 class Plan:
     """``words`` per shingle; links are pairs with 100 |A and B| >= ``percent`` |A or B|. ``bands`` of ``rows`` minima each: a
     linked pair shares no band with probability (1 - 0.75^5)^32 = 0.0002 at the threshold, 0.000003 at 0.8. Pairs whose
-    signatures agree in less than ``least`` of the places are not compared; at the threshold that is 5.8 deviations off."""
+    signatures agree in less than ``least`` of the places are not compared; at the threshold that is 4.4 deviations off."""
 
     words: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 5
-    least: float = 0.55
+    least: float = 0.6
     seed: int = 3
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +43,11 @@ class Plan:
         return draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
 
 
+#: Ids up to this number (8 MB) are sent to all tasks to pick their rows.
+SENT_IDS = 1 << 20
+#: Members of a bucket that a task holds while others pass by.
+BLOCK_ROWS = 512
+
 #: Elements of sets worked on at once, so that they stay in the processor's cache.
 _PIECE = 1 << 15
 
@@ -134,9 +139,17 @@ def sketches(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return documents.mapInArrow(sketch, schema)
 
 
-def _agree(plan: Plan) -> "F.Column":
+def _least(plan: Plan) -> int:
+    return int(plan.least * plan.bands * plan.rows)
+
+
+def _upper(plan: Plan, both: np.ndarray, x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray:
+    """Whether sets of x and y elements that share ``both`` are linked."""
+    return 100 * both >= plan.percent * (x + y - both)
+
+
+def _agree(plan: Plan) -> Column:
     """The signatures ``sa`` and ``sb`` agree in enough places."""
-    least = int(plan.least * plan.bands * plan.rows)
 
     @F.pandas_udf("boolean")
     def agree(a, b):
@@ -144,12 +157,12 @@ def _agree(plan: Plan) -> "F.Column":
 
         x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
         y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-        return pd.Series((x == y).sum(axis=1) >= least)
+        return pd.Series((x == y).sum(axis=1) >= _least(plan))
 
     return agree("sa", "sb")
 
 
-def _linked(plan: Plan) -> "F.Column":
+def _linked(plan: Plan) -> Column:
     """The sets ``xa`` and ``xb``, as sorted 64-bit numbers, are similar enough."""
 
     @F.pandas_udf("boolean")
@@ -159,41 +172,129 @@ def _linked(plan: Plan) -> "F.Column":
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(bool(_upper(plan, both, len(x), len(y))))
         return pd.Series(out, dtype=bool)
 
     return linked("xa", "xb")
 
 
-def _full_sets(documents: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """``id, x``: the full sets of the ids in ``wanted``, one row per id."""
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to pick rows by: sent to all tasks up to ``SENT_IDS`` of them, else joined by a shuffle."""
+    ids = written(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def _sets(documents: DataFrame, ids: DataFrame, plan: Plan, low: bool = False) -> DataFrame:
+    """``id, x``: the sets of the given ids, one row per id, as sorted numbers of 64 bits, or their lowest 16 bits only."""
     schema = T.StructType([documents.schema["id"], T.StructField("x", T.BinaryType())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in shingles.words(batch.column(1)):
-                sets = [s.tobytes() for s in shingles.shingle_sets(piece, plan.words)]
-                ids = batch.column(0).slice(piece.first, len(sets))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], schema.names)
+                sets = shingles.shingle_sets(piece, plan.words)
+                sets = [(s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if low else s.tobytes() for s in sets]
+                of = batch.column(0).slice(piece.first, len(sets))
+                yield pa.RecordBatch.from_arrays([of, pa.array(sets, pa.binary())], schema.names)
 
-    return documents.join(wanted, "id", "left_semi").mapInArrow(build, schema)
+    made = documents.join(_sent(ids), "id", "left_semi").mapInArrow(build, schema)
+    return written(made.dropDuplicates(["id"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, plan: Plan) -> DataFrame:
-    """The linked ones among ``pairs`` (u, v) of class ids."""
+def _alike(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) whose sizes and signatures allow a link."""
     pairs = written(pairs, "pairs")
-    marks = classes.select("id", "n_shingles", "signature")
-    a = marks.toDF("u", "na", "sa")
-    b = marks.toDF("v", "nb", "sb")
-    # sets whose sizes differ too much can't be linked
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    marks = written(classes.select("id", "n_shingles", "signature").join(_sent(ids), "id", "left_semi"), "marks")
+    both = pairs.join(marks.toDF("u", "na", "sa"), "u").join(marks.toDF("v", "nb", "sb"), "v")
     sizes = (100 * F.col("na") >= plan.percent * F.col("nb")) & (100 * F.col("nb") >= plan.percent * F.col("na"))
-    likely = pairs.join(a, "u").join(b, "v").where(sizes).where(_agree(plan)).select("u", "v")
-    likely = written(likely, "likely")
-    wanted = likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct()
-    sets = written(_full_sets(documents, wanted, plan).dropDuplicates(["id"]), "sets")
-    found = likely.join(sets.toDF("u", "xa"), "u").join(sets.toDF("v", "xb"), "v")
-    return found.where(_linked(plan)).select("u", "v")
+    return both.where(sizes).where(_agree(plan)).select("u", "v")
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) that the full sets link."""
+    pairs = written(pairs, "likely")
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets(documents, pairs.select(F.explode(F.array("u", "v")).alias("id")), plan)
+    return pairs.join(sets.toDF("u", "xa"), "u").join(sets.toDF("v", "xb"), "v").where(_linked(plan)).select("u", "v")
+
+
+def _compared(rows: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) in different components that may be linked, of members of the same bucket.
+
+    ``rows`` is (key, id, c, odd, odds, all, signature, x) for all members of some buckets: ``odd`` members, ``odds`` of them,
+    are compared with all. Both sides are cut into blocks, and each task compares a block with a block: the odd members of
+    its block are held, the others pass by. Signatures decide first. Then the shared lowest bits of the shingles are
+    counted, which are as many as the shared shingles or more, so that no link is lost.
+    """
+    parts = {"odds": F.ceil(F.col("odds") / BLOCK_ROWS), "all": F.ceil(F.col("all") / BLOCK_ROWS)}
+    rows = rows.withColumns({k: v.cast("int") for k, v in parts.items()}).withColumn("h", F.xxhash64("id", F.lit(1)))
+    sides = []
+    for own, other, passing in (("odds", "all", False), ("all", "odds", True)):
+        side = rows if passing else rows.where("odd")
+        mine = F.pmod("h", own).cast("int")
+        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (spread, mine) if passing else (mine, spread)
+        side = side.withColumn("i", i).withColumn("j", j)
+        sides.append(side.select("key", "i", "j", F.lit(passing).alias("passing"), "id", "c", "odd", "signature", "x"))
+    dealt = sides[0].union(sides[1]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "passing")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        table = np.zeros(1 << 16, bool)
+        for batch in batches:
+            key, i, j, passing, ids, c, odd = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            signs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(key), -1)
+            sets = [np.frombuffer(x, np.uint16) for x in batch.column(8).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(passing.astype(np.int8)) != 0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
+            u, v = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if block != (here := (key[a], i[a], j[a])):
+                    block, held = here, []
+                if not passing[a]:
+                    held += [(ids[k], c[k], signs[k], sets[k]) for k in range(a, b)]
+                    continue
+                for own_id, own_c, own_sign, own_set in held:
+                    # a pair of odd members meets twice
+                    can = (c[a:b] != own_c) & (~odd[a:b] | (ids[a:b] > own_id))
+                    can &= (signs[a:b] == own_sign).sum(axis=1) >= _least(plan)
+                    some = np.flatnonzero(can) + a
+                    if not len(some):
+                        continue
+                    table[own_set] = True
+                    shared = [np.count_nonzero(table[sets[k]]) for k in some]
+                    table[own_set] = False
+                    shared = np.minimum(shared, np.minimum(size[some], len(own_set)))
+                    some = some[_upper(plan, shared, size[some], len(own_set))]
+                    u += [own_id] * len(some)
+                    v += ids[some].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
+def _across(members: DataFrame, found: DataFrame, classes: DataFrame, documents: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of a bucket that may be linked and aren't in the same component. ``members`` is (key, id, lowest).
+
+    The bucket's smallest has been compared with all. So a pair has a member outside of its component: an odd one.
+    """
+    placed = members.join(found, members.id == found.node, "left")
+    placed = written(placed.select("key", "id", "lowest", F.coalesce("component", "id").alias("c")), "placed")
+    leads = placed.where("id = lowest").select("key", F.col("c").alias("lead"))
+    rest = written(placed.where("id != lowest").join(leads, "key").select("key", "id", "c", (F.col("c") != F.col("lead")).alias("odd")), "rest")
+    counts = rest.groupBy("key").agg(F.count_if("odd").alias("odds"), F.count("*").alias("all"))
+    counts = written(counts.where("odds > 0 and all > 1"), "counts")
+    rows = written(rest.join(counts, "key"), "rows")
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    low = _sets(documents, rows.select("id"), plan, low=True)
+    held = written(low.join(classes.select("id", "signature"), "id"), "held")
+    return _compared(rows.join(held, "id"), plan)
 
 
 def class_components(classes: DataFrame, documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -203,24 +304,13 @@ def class_components(classes: DataFrame, documents: DataFrame, plan: Plan = Plan
     lowest = buckets.groupBy("key").agg(F.min("id").alias("lowest"), F.max("id").alias("highest")).where("lowest < highest")
     lowest = written(lowest.drop("highest"), "lowest")
     members = written(buckets.join(lowest, "key"), "members")
-
     stars = members.where("id > lowest").select(F.col("lowest").alias("u"), F.col("id").alias("v")).distinct()
-    links = written(_confirmed(stars, classes, documents, plan), "links")
-    found = components(links)
-
-    # members in other components than that of their bucket's smallest, with all other members but the smallest
-    placed = members.join(found, members.id == found.node, "left")
-    placed = placed.select("key", "id", "lowest", F.coalesce("component", "id").alias("c"))
-    leads = placed.where("id = lowest").select("key", F.col("c").alias("lead_c"))
-    placed, leads = written(placed.where("id != lowest").drop("lowest"), "placed"), written(leads, "leads")
-    odd = written(placed.join(leads, "key").where("c != lead_c").toDF("key", "v", "d", "lead_c").drop("lead_c"), "odd")
-    across = placed.join(odd, "key").where((F.col("c") != F.col("d")))
-    across = across.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    return components(links.union(_confirmed(across, classes, documents, plan)))
+    found = components(_confirmed(_alike(stars, classes, plan), documents, plan))
+    return extended(found, _confirmed(_across(members, found, classes, documents, plan), documents, plan))
 
 
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``id, n_shingles, component`` of every row of ``documents``, a written table (id, text) with orderable ids.
+    """``id, n_shingles, component`` of every row of ``documents``, a written table (id, text) with bigint ids.
 
     ``component`` is the smallest id that can be reached over links. Rows without shingles are linked with nothing: their
     component is their own id. Equal texts are linked; of a repeated id, all rows are in one component. A null id has a null
