@@ -141,7 +141,8 @@ def test_splits(series, spark):
     _, df = series
     split = splits.split_test(df, [2, 9], pool=[1, 2])
     assert rows_of(split.select("sample_id", "split").distinct(), "sample_id", "split") == [(1, "train"), (2, "test"), (9, "test")]
-    train, test = splits.split_by_table(df, spark.createDataFrame([(2,), (9,)], "sample_id bigint"))
+    marked = splits.split_test(df, spark.createDataFrame([(2,), (9,)], "sample_id bigint"))
+    train, test = (marked.where(f"split = '{s}'").drop("split") for s in ("train", "test"))
     assert splits.split_overlap(train, test).count() == 0
     assert rows_of(splits.split_overlap(df, test), "sample_id") == [(2,), (9,)]
     a, b = splits.sample_train(df, 2, 7), splits.sample_train(df, 3, 7)

@@ -44,13 +44,26 @@ def test_write_signals(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "one").glob("sample_id=*")) == ["sample_id=12", "sample_id=1500", "sample_id=3"]
 
 
-def test_config_is_written_once(spark, tmp_path):
-    first, second = (spark.createDataFrame([(v,)], "seed bigint") for v in (1, 2))
-    for df in (first, second):
+def test_config_is_written_once_per_run(spark, tmp_path):
+    def frame(*rows):
+        return spark.createDataFrame(rows, "folder bigint, seed bigint")
+
+    for df in (frame((1, 1)), frame((1, 2), (2, 2)), frame((3, 3), (2, 9))):
         signals.write_config(df, f"{tmp_path}/config")
-        signals.write_result(df, f"{tmp_path}/result")
-    assert spark.read.json(f"{tmp_path}/config").first()["seed"] == 1
-    assert spark.read.json(f"{tmp_path}/result").first()["seed"] == 2
+        signals.write_result(df.limit(1), f"{tmp_path}/result")
+    assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/config").collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert spark.read.json(f"{tmp_path}/result").count() == 1
+
+
+def test_result_tree_with_a_folder_of_lines(spark, tmp_path):
+    """Every line of a folder that Spark wrote is a config; an indented file is one."""
+    rows = [(i, f"loss{i}") for i in range(3)]
+    spark.createDataFrame(rows, "seed bigint, loss_function string").coalesce(1).write.json(f"{tmp_path}/a/config.json")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "config.json").write_text(json.dumps({"seed": 7, "loss_function": "x", "train_samples": ["1"]}, indent=2))
+    got = results.read_json_tree(spark, str(tmp_path), "config.json", signals.CONFIG_SCHEMA)
+    found = sorted((r.folder, r.seed, r.loss_function, r.train_samples) for r in got.collect())
+    assert found == [("a/", i, f"loss{i}", None) for i in range(3)] + [("b/", 7, "x", ["1"])]
 
 
 def test_result_tree_at_any_depth(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetrace.functions.physics import TwoState
-from tidetrace.plans.layout import SIGNALS, Layout, running, with_rows
+from tidetrace.plans.layout import SIGNALS, Layout, position, with_rows
 
 BATCH_ROWS = 128
 ID_BLOCK = 1 << 16
@@ -21,13 +21,23 @@ ID_BLOCK = 1 << 16
 def series_offsets(sizes: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
     """Per series, what to add to a tick to get the row number over all series in id order.
 
-    ``sizes`` has ``length`` and ``first_tick`` per series. Ids are integers; the lengths are summed block by block of
-    ids, so no task sees all series.
+    ``sizes`` has ``length`` and ``first_tick`` per series. Ids may be sparse, or texts. Their range is cut into blocks of
+    about ``ID_BLOCK`` series; the lengths are summed block by block, so no task sees all series.
     """
     (key,) = layout.keys
-    by_id = Layout(keys=(), tick=key, chunk=ID_BLOCK)
-    summed = running(sizes, by_id, {"_before": ("sum", F.col("length"))}, exclusive=True)
-    return summed.withColumn("offset", (F.coalesce("_before", F.lit(0)) - F.col("first_tick")).cast("bigint"))
+    place = position(sizes, key)
+    span = sizes.agg(F.struct(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"))).scalar()
+    blocks = F.ceil(span["n"] / F.lit(ID_BLOCK))
+    share = F.coalesce(F.try_divide(place - span["lo"], span["hi"] - span["lo"]), F.lit(0.0))
+    blocked = sizes.withColumn("_block", F.floor(F.least(share * blocks, blocks - 1)))
+    earlier = Window.partitionBy().orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("_block").agg(F.sum("length").alias("_sum"))
+    starts = totals.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own = blocked.withColumn("_before", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    summed = own.join(starts, "_block")
+    offset = (F.col("_start") + F.col("_before") - F.col("first_tick")).cast("bigint")
+    return summed.withColumn("offset", offset).drop("_block", "_start", "_before")
 
 
 def batch_blocks(

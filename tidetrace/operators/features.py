@@ -43,9 +43,17 @@ def lag_name(column: str, offset: int) -> str:
 
 
 def lag_features(
-    df: DataFrame, columns: Iterable[str], n_in: int = 1, n_out: int = 1, layout: Layout = SIGNALS
+    df: DataFrame,
+    columns: Iterable[str],
+    n_in: int = 1,
+    n_out: int = 1,
+    layout: Layout = SIGNALS,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Columns ``<name>_t_minus_<n_in>`` … ``<name>_t`` … ``<name>_t_plus_<n_out-1>``; incomplete rows are dropped."""
+    """Columns ``<name>_t_minus_<n_in>`` … ``<name>_t`` … ``<name>_t_plus_<n_out-1>``; incomplete rows are dropped.
+
+    ``keep`` names further columns that stay as they are.
+    """
     columns = list(columns)
     names = [lag_name(c, k) for k in range(-n_in, n_out) for c in columns]
 
@@ -57,7 +65,7 @@ def lag_features(
         }
 
     rows = windowed(df, layout, shifted, before=n_in, after=n_out - 1)
-    return rows.select(*layout.keys, layout.tick, *names).na.drop(subset=names)
+    return rows.select(*layout.keys, layout.tick, *names, *keep).na.drop(subset=names)
 
 
 def select_features(df: DataFrame, prefix: str) -> list[str]:
@@ -98,9 +106,16 @@ def align_tail(df: DataFrame, lag: int, layout: Layout = SIGNALS) -> DataFrame:
     return rows.where(F.col("_far").isNotNull()).drop("_far")
 
 
-def align_xy(features: DataFrame, target: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
-    """Join two tables of the same series on (series, tick)."""
-    return features.join(target, [*layout.keys, layout.tick])
+def align_xy(
+    df: DataFrame, columns: Iterable[str], target: str, n_in: int, layout: Layout = SIGNALS
+) -> DataFrame:
+    """Lag columns and the target of the same tick, from one window."""
+    return lag_features(df, columns, n_in, 1, layout, keep=[target])
+
+
+def join_aligned(left: DataFrame, right: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
+    """Two tables of the same series, joined on (series, tick)."""
+    return left.join(right, [*layout.keys, layout.tick])
 
 
 def persistence_predictions(df: DataFrame, column: str, layout: Layout = SIGNALS) -> DataFrame:

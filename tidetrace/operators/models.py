@@ -68,30 +68,52 @@ def _curvature(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_tgds_linear(
-    batches: DataFrame, features: list[str], label: str, rule: TwoState, steps: int = 10
+    batches: DataFrame,
+    features: list[str],
+    label: str,
+    rule: TwoState,
+    steps: int = 10,
+    validation: DataFrame | None = None,
 ) -> LagModel:
     """Linear lag model for ``mse + theta * min(alpha*static, beta*moving)``, averaged over the rows of all batches.
 
-    Needs ``batch_no`` and ``row_no``. Each step is one aggregation that returns the gradient, scaled by a fixed bound on
-    the curvature; the bound makes every step lower the loss or leave it. With theta = 0 the first step is least squares.
+    Needs ``batch_no`` and ``row_no``, in ``validation`` too. Each step is one aggregation that returns the gradient, scaled by
+    a fixed bound on the curvature; the bound makes every step lower the loss or leave it. With theta = 0 the first step is
+    least squares. ``history`` has the losses at the start of each step, ``val_`` ones if there is a validation table. They
+    come from the same pass.
     """
     size = len(features)
     window = Window.partitionBy("batch_no").orderBy("row_no")
     x = F.array(*[F.col(c).cast("double") for c in features])
     dx = F.array(*[F.col(c).cast("double") - F.lag(c).over(window) for c in features])
     first = F.lag("row_no").over(window).isNull()
-    rows = batches.select(
-        "batch_no", x.alias("x"), F.when(~first, dx).alias("dx"), F.col(label).cast("double").alias("y")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def steps_of(df: DataFrame, held_out: bool) -> DataFrame:
+        return df.select(
+            F.lit(held_out).alias("held_out"),
+            "batch_no",
+            x.alias("x"),
+            F.when(~first, dx).alias("dx"),
+            F.col(label).cast("double").alias("y"),
+        )
+
+    rows = steps_of(batches, False)
+    if validation is not None:
+        rows = rows.union(steps_of(validation, True))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        data, step = _curvature(rows, size)
+        data, step = _curvature(rows.where("not held_out"), size)
         weight = (1 - rule.theta) if rule.normalized else 1.0
         bound = 2 * weight * data + 2 * rule.theta * max(rule.alpha, rule.beta) * step
         scale = np.linalg.pinv(bound)
         point, history = np.zeros(size + 1), []
         for epoch in range(1, steps + 1):
-            row = _gradient(rows, size, rule, point).first()
-            history.append({"epoch": epoch, "loss": row["loss"], "mse": row["mse"], "tgds": row["tgds"]})
+            found = {r["held_out"]: r for r in _gradient(rows, size, rule, point).collect()}
+            row = found[False]
+            losses = {"epoch": epoch, **{c: row[c] for c in ("loss", "mse", "tgds")}}
+            if validation is not None:
+                losses |= {f"val_{c}": found[True][c] if True in found else None for c in ("loss", "mse", "tgds")}
+            history.append(losses)
             point = point - scale @ np.array([row[f"g_{i}"] for i in range(size + 1)])
         return LagModel(features, [float(w) for w in point[:-1]], float(point[-1]), history)
     finally:
@@ -99,7 +121,7 @@ def fit_tgds_linear(
 
 
 def _gradient(rows: DataFrame, size: int, rule: TwoState, point: np.ndarray) -> DataFrame:
-    """One row: loss at ``point`` and its gradient ``g_0 … g_size``."""
+    """A row for the training and one for the validation batches: loss at ``point`` and its gradient ``g_0 … g_size``."""
     s, tau = rule.steepness, rule.tolerance
     w, b = [float(v) for v in point[:-1]], float(point[-1])
     predicted = sum((F.lit(w[i]) * F.col("x")[i] for i in range(size)), F.lit(b))
@@ -109,6 +131,7 @@ def _gradient(rows: DataFrame, size: int, rule: TwoState, point: np.ndarray) ->
     pull_static = F.greatest(d - tau * s, zero) * F.signum(moved)
     pull_moving = (F.greatest(d - s * (1 + tau), zero) - F.greatest(s * (1 - tau) - d, zero)) * F.signum(moved)
     named = rows.select(
+        "held_out",
         "batch_no",
         "dx",
         "x",
@@ -132,7 +155,7 @@ def _gradient(rows: DataFrame, size: int, rule: TwoState, point: np.ndarray) ->
             F.coalesce(F.avg(F.col("pull_static") * F.col("dx")[i]), zero).alias(f"s_{i}"),
             F.coalesce(F.avg(F.col("pull_moving") * F.col("dx")[i]), zero).alias(f"t_{i}"),
         ]
-    per_batch = named.groupBy("batch_no").agg(*aggs)
+    per_batch = named.groupBy("held_out", "batch_no").agg(*aggs)
     static, moving = F.lit(rule.alpha) * F.col("static"), F.lit(rule.beta) * F.col("moving")
     tgds = F.least(static, moving)
     weight = (1 - rule.theta) if rule.normalized else 1.0
@@ -145,7 +168,7 @@ def _gradient(rows: DataFrame, size: int, rule: TwoState, point: np.ndarray) ->
         pull = F.when(static <= moving, rule.alpha * F.col(f"s_{i}")).otherwise(rule.beta * F.col(f"t_{i}"))
         out.append(mean(2 * weight * F.col(f"a_{i}") + 2 * rule.theta * pull).alias(f"g_{i}"))
     out.append(mean(2 * weight * F.col("a_b")).alias(f"g_{size}"))
-    return per_batch.agg(*out)
+    return per_batch.groupBy("held_out").agg(*out)
 
 
 def predict_samples(

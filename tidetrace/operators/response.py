@@ -16,6 +16,7 @@ from tidetrace.plans.layout import SIGNALS, Layout, next_tick, windowed
 from tidetrace.session import settle
 
 PIECE_TICKS = 1 << 16
+BLOCK_TICKS = 1 << 12
 
 
 def change_points(df: DataFrame, column: str, layout: Layout = SIGNALS) -> DataFrame:
@@ -87,9 +88,10 @@ def _block_starts(steps: DataFrame, layout: Layout) -> DataFrame:
     """Level at which each block of a series is entered, with the work of a long series spread over its blocks.
 
     What a block does to any entry level is a monotone function made of flat and slope-1 pieces. Each block is reduced to
-    the knots of its function, and the functions of a series are applied one after the other.
+    the knots of its function, and the functions of a series are applied one after the other. A block of ``BLOCK_TICKS`` has at
+    most two knots a tick, so the work grows with the number of change points.
     """
-    group = (*layout.keys, "_block")
+    keys, group = list(layout.keys), (*layout.keys, "_block")
 
     def reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, opening, xs, ys = None, 0.0, [], []
@@ -121,7 +123,7 @@ def _block_starts(steps: DataFrame, layout: Layout) -> DataFrame:
         level, current = 0.0, None
         for batch in batches:
             entries = []
-            for name, opening, xs, ys in zip(zip(*[batch[c] for c in layout.keys]), batch["opening"], batch["xs"], batch["ys"]):
+            for name, opening, xs, ys in zip(zip(*[batch[c] for c in keys]), batch["opening"], batch["xs"], batch["ys"]):
                 if name != current:
                     level, current = opening, name
                 entries.append(level)
@@ -162,7 +164,7 @@ def expected_levels(
     )
     if layout.split:
         # The change points are read twice, and are far fewer than the ticks they come from.
-        steps = settle(steps.withColumn("_block", layout.chunk_of()))
+        steps = settle(steps.withColumn("_block", F.floor(tick / min(layout.chunk, BLOCK_TICKS)).cast("bigint")))
         group = (*layout.keys, "_block")
         walked = _carry(steps.join(_block_starts(steps, layout), [*group]), group, layout.tick, "entry")
     else:

@@ -12,22 +12,32 @@ from tidetrace.plans.layout import SIGNALS, Layout
 
 
 def split_test(
-    df: DataFrame, test_ids: Iterable, pool: Iterable | None = None, key: str = "sample_id", drop_unused: bool = True
+    df: DataFrame,
+    test_ids: Iterable | DataFrame,
+    pool: Iterable | DataFrame | None = None,
+    key: str = "sample_id",
+    drop_unused: bool = True,
 ) -> DataFrame:
-    """Add ``split``: ``test`` for the listed series, ``train`` for the others of the pool (all others by default).
+    """Add ``split``: ``test`` for the given series, ``train`` for the others of the pool (all others by default).
 
-    Series in neither are dropped, or kept with NULL.
+    Series are given as a table with a column ``key``, or as a short list. Series in neither are dropped, or kept with NULL.
     """
-    in_test = F.col(key).isin(list(test_ids))
-    in_pool = F.lit(True) if pool is None else F.col(key).isin(list(pool))
-    split = F.when(in_test, F.lit("test")).when(in_pool, F.lit("train"))
-    marked = df.withColumn("split", split)
-    return marked.where(F.col("split").isNotNull()) if drop_unused else marked
 
-
-def split_by_table(df: DataFrame, test: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
-    """(train, test) for a table of test series."""
-    return df.join(test, [key], "left_anti"), df.join(test, [key], "left_semi")
+    def listed(ids: Iterable | DataFrame, split: str) -> DataFrame:
+        if not isinstance(ids, DataFrame):
+            ids = df.sparkSession.createDataFrame([(i,) for i in ids], df.select(key).schema)
+        return ids.select(key, F.lit(split).alias("split"))
+
+    named = listed(test_ids, "test")
+    if pool is not None:
+        named = named.union(listed(pool, "train"))
+    # "test" comes before "train": a series that is in both is a test series
+    named = named.groupBy(key).agg(F.min("split").alias("split"))
+    marked = df.join(named, key, "left")
+    if pool is None:
+        marked = marked.withColumn("split", F.coalesce("split", F.lit("train")))
+    marked = marked.select(*df.columns, "split")
+    return marked.where(F.col("split").isNotNull()) if drop_unused else marked
 
 
 def split_overlap(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -49,11 +59,20 @@ def sample_train(pool: DataFrame, n: int, seed: int, key: str = "sample_id") ->
     return pool.select(key).distinct().orderBy(_draw(F.lit(seed), key), key).limit(n)
 
 
+DRAW_PARTS = 64
+
+
 def sample_train_runs(pool: DataFrame, n: int, seeds: Iterable[int], key: str = "sample_id") -> DataFrame:
-    """``sample_train`` for many seeds at once, with ``draw_no`` from 1; the first k draws are the sample of size k."""
+    """``sample_train`` for many seeds at once, with ``draw_no`` from 1; the first k draws are the sample of size k.
+
+    The pool of a run is ranked in ``DRAW_PARTS`` parts first, so that only ``n`` series of each part meet.
+    """
     drawn = pool.select(key).distinct().withColumn("run", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    order = Window.partitionBy("run").orderBy(_draw(F.col("run"), key), key)
-    return drawn.withColumn("draw_no", F.row_number().over(order)).where(F.col("draw_no") <= n)
+    drawn = drawn.withColumn("_draw", _draw(F.col("run"), key))
+    part = Window.partitionBy("run", F.pmod(F.xxhash64(key), F.lit(DRAW_PARTS))).orderBy("_draw", key)
+    first = drawn.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= n)
+    order = Window.partitionBy("run").orderBy("_draw", key)
+    return first.withColumn("draw_no", F.row_number().over(order)).where(F.col("draw_no") <= n).select(key, "run", "draw_no")
 
 
 def tail_split(

@@ -177,7 +177,7 @@ def ordinals(
     the group.
     """
     longest, total, _ = size or measure(df, keys)
-    if longest <= chunk or dict(df.dtypes)[order[0]] not in _POSITION:
+    if longest <= chunk or _kind(df, order[0]) not in _POSITION:
         group = Window.partitionBy(*keys)
         named = {out: F.row_number().over(group.orderBy(*order)).cast("bigint") - 1}
         return df.withColumns(named | ({group_size: F.count("*").over(group)} if group_size else {}))
@@ -203,16 +203,29 @@ def ordinals(
 
 
 _FAR = 1e300
+
+
+def _first_bytes(text: Column) -> Column:
+    """The first six bytes of a text as a number."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 _POSITION = {
-    **{t: lambda c: c.cast("double") for t in ("tinyint", "smallint", "int", "bigint", "float", "double")},
+    **{t: lambda c: c.cast("double") for t in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")},
+    "date": lambda c: F.unix_date(c).cast("double"),
     "timestamp": lambda c: F.unix_micros(c).cast("double"),
     "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp")).cast("double"),
+    "string": _first_bytes,
 }
 
 
-def _position(df: DataFrame, column: str) -> Column:
-    """Place of a value on a line, in sort order: NULL first, NaN last."""
-    place = F.coalesce(_POSITION[dict(df.dtypes)[column]](F.col(column)), F.lit(-_FAR))
+def _kind(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column].split("(")[0]
+
+
+def position(df: DataFrame, column: str) -> Column:
+    """Place of a value on a line, in sort order: NULL first, NaN last. Values that are close may share a place."""
+    place = F.coalesce(_POSITION[_kind(df, column)](F.col(column)), F.lit(-_FAR))
     return F.greatest(F.least(F.nanvl(place, F.lit(_FAR)), F.lit(_FAR)), F.lit(-_FAR))
 
 
@@ -222,16 +235,15 @@ def _cut(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], out: str,
     The ranges are of the first order column that is not constant in the group. Only the leading columns that have a
     position on a line are considered.
     """
-    types = dict(df.dtypes)
-    usable = list(takewhile(lambda c: types[c] in _POSITION, order))
-    position = {c: _position(df, c) for c in usable}
+    usable = list(takewhile(lambda c: _kind(df, c) in _POSITION, order))
+    places = {c: position(df, c) for c in usable}
     stats = [F.count("*").alias("_n")]
     for c in usable:
         mixed = (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
         stats += [
             F.coalesce(mixed, F.lit(False)).alias(f"_varies_{c}"),
-            F.min(position[c]).alias(f"_lo_{c}"),
-            F.max(position[c]).alias(f"_hi_{c}"),
+            F.min(places[c]).alias(f"_lo_{c}"),
+            F.max(places[c]).alias(f"_hi_{c}"),
         ]
     any_varies = reduce(Column.__or__, [F.col(f"_varies_{c}") for c in usable])
     big = df.groupBy(*keys).agg(*stats).where((F.col("_n") > limit) & any_varies)
@@ -239,7 +251,7 @@ def _cut(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], out: str,
     place = F.lit(0).cast("bigint")
     for c in reversed(usable):
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        share = F.coalesce(F.try_divide(position[c] - lo, hi - lo), F.lit(0.0))
+        share = F.coalesce(F.try_divide(places[c] - lo, hi - lo), F.lit(0.0))
         place = F.when(F.col(f"_varies_{c}"), F.floor(share * parts)).otherwise(place)
     return (
         df.join(F.broadcast(big), [*keys], "left")

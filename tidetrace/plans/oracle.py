@@ -200,44 +200,61 @@ model AS (SELECT w1, w2, my - w1 * m1 - w2 * m2 AS b FROM slopes)"""
 
 
 def guided_steps(rule: TwoState, count: int) -> str:
-    """``count`` steps of the guided fit with one feature, written out step by step."""
+    """``count`` steps of the guided fit with two features, written out step by step, as the table ``guided``."""
     span_low, span_high = rule.steepness * (1 - rule.tolerance), rule.steepness * (1 + rule.tolerance)
     still = dbl(rule.tolerance * rule.steepness)
     top = dbl(2 * rule.theta * max(rule.alpha, rule.beta))
+
+    def cell(i: int, j: int) -> str:
+        return f"2 * avg(x{i} * x{j}) + {top} * sum(coalesce(dx{i} * dx{j}, 0)) / count(*) AS h{i}{j}"
+
+    def pull(i: int) -> str:
+        outside = f"greatest(abs(u) - {dbl(span_high)}, 0) - greatest({dbl(span_low)} - abs(u), 0)"
+        return (
+            f"avg(e * x{i}) AS a{i}, coalesce(avg(greatest(abs(u) - {still}, 0) * sign(u) * dx{i}), 0) AS s{i}, "
+            f"coalesce(avg(({outside}) * sign(u) * dx{i}), 0) AS t{i}"
+        )
+
+    def slope(i: int) -> str:
+        moved = f"CASE WHEN {dbl(rule.alpha)} * st <= {dbl(rule.beta)} * mv THEN {dbl(rule.alpha)} * s{i} ELSE {dbl(rule.beta)} * t{i} END"
+        return f"sum(n * (2 * a{i} + {dbl(2 * rule.theta)} * {moved})) / sum(n) AS g{i}"
+
     sql = MODEL_ROWS + f""",
-train AS (SELECT x2 AS x, y, row_number() OVER (ORDER BY sample_id, time) - 1 AS row_no FROM rows WHERE split = 'train'),
-blocks AS (
-  SELECT *, row_no // {BATCH_ROWS} AS batch_no,
-         x - lag(x) OVER (PARTITION BY row_no // {BATCH_ROWS} ORDER BY row_no) AS dx FROM train),
+ordered AS (
+  SELECT split, x1, x2, y, row_number() OVER (PARTITION BY split ORDER BY sample_id, time) - 1 AS row_no FROM rows),
+blocks AS MATERIALIZED (
+  SELECT *, row_no // {BATCH_ROWS} AS batch_no, x1 - lag(x1) OVER w AS dx1, x2 - lag(x2) OVER w AS dx2
+  FROM ordered WINDOW w AS (PARTITION BY split, row_no // {BATCH_ROWS} ORDER BY row_no)),
 bound AS (
-  SELECT 2 * avg(x * x) + {top} * sum(coalesce(dx * dx, 0)) / count(*) AS h11, 2 * avg(x) AS h12,
-         CAST(2 AS DOUBLE) AS h22 FROM blocks),
-p1 AS (SELECT CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b)"""
+  SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h13 * h23) + h13 * (h12 * h23 - h13 * h22) AS det FROM (
+    SELECT {cell(1, 1)}, {cell(1, 2)}, {cell(2, 2)}, 2 * avg(x1) AS h13, 2 * avg(x2) AS h23, CAST(2 AS DOUBLE) AS h33
+    FROM blocks WHERE split = 'train')),
+p1 AS (SELECT CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS b)"""
     for k in range(1, count + 1):
         sql += f""",
-e{k} AS (SELECT batch_no, x, dx, w * x + b - y AS e, w * dx AS u FROM blocks, p{k}),
-b{k} AS (
-  SELECT batch_no, count(*) AS n, avg(e * e) AS mse, avg(e * x) AS ax, avg(e) AS ab,
-         coalesce(avg(greatest(abs(u) - {still}, 0) ** 2), 0) AS st,
-         coalesce(avg(greatest({dbl(span_low)} - abs(u), abs(u) - {dbl(span_high)}, 0) ** 2), {dbl(span_low ** 2)}) AS mv,
-         coalesce(avg(greatest(abs(u) - {still}, 0) * sign(u) * dx), 0) AS gs,
-         coalesce(avg((greatest(abs(u) - {dbl(span_high)}, 0) - greatest({dbl(span_low)} - abs(u), 0)) * sign(u) * dx), 0) AS gm
-  FROM e{k} GROUP BY batch_no),
-g{k} AS (
-  SELECT sum(n * mse) / sum(n) AS mse,
-         sum(n * least({dbl(rule.alpha)} * st, {dbl(rule.beta)} * mv)) / sum(n) AS tgds,
-         sum(n * (2 * ax + {dbl(2 * rule.theta)} * CASE WHEN {dbl(rule.alpha)} * st <= {dbl(rule.beta)} * mv
-             THEN {dbl(rule.alpha)} * gs ELSE {dbl(rule.beta)} * gm END)) / sum(n) AS gx,
-         sum(n * 2 * ab) / sum(n) AS gb FROM b{k}),
-p{k + 1} AS (
-  SELECT w - (h22 * gx - h12 * gb) / (h11 * h22 - h12 * h12) AS w,
-         b - (h11 * gb - h12 * gx) / (h11 * h22 - h12 * h12) AS b FROM p{k}, g{k}, bound)"""
+b{k} AS MATERIALIZED (
+  SELECT split, batch_no, count(*) AS n, avg(e * e) AS mse, avg(e) AS ab,
+         coalesce(avg(greatest(abs(u) - {still}, 0) ** 2) FILTER (WHERE u IS NOT NULL), 0) AS st,
+         coalesce(avg(greatest({dbl(span_low)} - abs(u), abs(u) - {dbl(span_high)}, 0) ** 2) FILTER (WHERE u IS NOT NULL),
+                  {dbl(span_low ** 2)}) AS mv,
+         {pull(1)}, {pull(2)}
+  FROM (SELECT *, w1 * x1 + w2 * x2 + b - y AS e, w1 * dx1 + w2 * dx2 AS u FROM blocks, p{k}) GROUP BY split, batch_no),
+g{k} AS MATERIALIZED (
+  SELECT split, sum(n * mse) / sum(n) AS mse, sum(n * least({dbl(rule.alpha)} * st, {dbl(rule.beta)} * mv)) / sum(n) AS tgds,
+         {slope(1)}, {slope(2)}, sum(n * 2 * ab) / sum(n) AS g3 FROM b{k} GROUP BY split),
+p{k + 1} AS MATERIALIZED (
+  SELECT w1 - ((h22 * h33 - h23 * h23) * g1 + (h13 * h23 - h12 * h33) * g2 + (h12 * h23 - h13 * h22) * g3) / det AS w1,
+         w2 - ((h13 * h23 - h12 * h33) * g1 + (h11 * h33 - h13 * h13) * g2 + (h12 * h13 - h11 * h23) * g3) / det AS w2,
+         b - ((h12 * h23 - h13 * h22) * g1 + (h12 * h13 - h11 * h23) * g2 + (h11 * h22 - h12 * h12) * g3) / det AS b
+  FROM p{k}, g{k}, bound WHERE split = 'train')"""
+    total = f"mse + {dbl(rule.theta)} * tgds"
     rows = [
-        f"SELECT CAST({k} AS BIGINT) AS epoch, {r6(f'mse + {dbl(rule.theta)} * tgds', 'loss')}, {r6('mse', 'mse')}, "
-        f"{r6('tgds', 'tgds')} FROM g{k}"
+        f"SELECT CAST({k} AS BIGINT) AS epoch, t.{total.replace('tgds', 't.tgds')} AS loss, t.mse AS mse, t.tgds AS tgds, "
+        f"v.{total.replace('tgds', 'v.tgds')} AS val_loss, v.mse AS val_mse, v.tgds AS val_tgds "
+        f"FROM (SELECT * FROM g{k} WHERE split = 'train') t, (SELECT * FROM g{k} WHERE split = 'test') v"
         for k in range(1, count + 1)
     ]
-    return sql + "\n" + "\nUNION ALL ".join(rows)
+    return sql + ",\nguided AS MATERIALIZED (\n" + "\nUNION ALL ".join(rows) + ")"
 
 
 def numbers(values) -> str:
@@ -526,6 +543,17 @@ predicted AS (
          (w1 * x1 + w2 * x2 + b) * {dbl(_HI - _LO)} + {dbl(_LO)} AS p FROM rows, model)
 SELECT split, sample_id, count(*) AS n, {r6('sqrt(avg((t - p) ** 2))', 'rmse')}, {r6('avg(abs(t - p))', 'mae')},
        {r6('max(abs(t - p))', 'maxae')} FROM predicted GROUP BY split, sample_id""",
-    "fit_tgds_linear": guided_steps(q.GUIDED_RULE, q.FIT_STEPS),
+    "fit_tgds_linear": guided_steps(q.GUIDED_RULE, q.FIT_STEPS) + f"""
+SELECT epoch, {r6('loss', 'loss')}, {r6('mse', 'mse')}, {r6('tgds', 'tgds')}, {r6('val_loss', 'val_loss')},
+       {r6('val_mse', 'val_mse')}, {r6('val_tgds', 'val_tgds')} FROM guided""",
+    "guided_replay": guided_steps(q.GUIDED_RULE, q.FIT_STEPS) + """,
+rounded AS (SELECT epoch, round(val_loss, 6) AS val_loss FROM guided),
+marked AS (
+  SELECT *, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                                'infinity'::DOUBLE) AS better FROM rounded),
+waits AS (SELECT *, epoch - max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS waited FROM marked)
+SELECT CAST(1 AS BIGINT) AS run_id, arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS best_val_loss,
+       max(epoch) FILTER (WHERE better) AS last_saved, count(*) FILTER (WHERE better) AS saves,
+       min(epoch) FILTER (WHERE waited >= 1) AS stop_epoch, max(epoch) AS last_epoch FROM waits""",
 }
 ORACLE["write_true_pred_text"] = ORACLE["write_true_pred"]

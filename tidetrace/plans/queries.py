@@ -32,7 +32,7 @@ PATIENCE = history.patience_for(50)
 REPS, LEVEL = 200, 0.68
 SEEDS = tuple(range(experiments.RUNS))
 VAL_FRAC = 0.1
-FIT_TRAIN, FIT_STEPS = 8, 3
+FIT_STEPS = 6
 GUIDED_RULE = TwoState(steepness=0.05, tolerance=0.1, theta=3.0, ratio=0.6)
 
 # Nine significant digits of a number that isn't negative, in any SQL.
@@ -157,20 +157,21 @@ def write_true_pred_text(spark, sf_dir):
 def write_config(spark, sf_dir):
     path = scratch_path(spark, "config")
     rows = views.config(spark, sf_dir)
-    files.write_config(rows, path)
-    files.write_config(rows.withColumn("origin", F.lit("second")), path)
+    # the second run finds half of its folders there already
+    files.write_config(rows.where("folder % 2 = 0"), path)
+    files.write_config(rows.withColumn("origin", F.when(F.col("folder") % 2 == 0, F.lit("second")).otherwise(F.col("origin"))), path)
     return spark.read.schema(rows.schema).json(path)
 
 
 @query
 def write_info(spark, sf_dir):
-    rows, _ = views.signals(spark, sf_dir)
+    rows = views.parsed(spark, sf_dir)
     path = scratch_path(spark, "info")
+    longest = views.lengths(spark, sf_dir).agg(F.max("length"))
     observed = rows.agg(
         F.array(F.min("input_voltage"), F.max("input_voltage")).alias("input_range"),
         F.array(F.min("el_power"), F.max("el_power")).alias("output_range"),
-        F.max(F.col("time") + 1).alias("max_length"),
-    )
+    ).withColumn("max_length", longest.scalar())
     files.write_info(views.info(spark), path)
     files.write_info(observed, path)
     return files.read_info(spark, path).select(
@@ -275,16 +276,15 @@ def _test_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_test(spark, sf_dir):
-    rows, _ = views.signals(spark, sf_dir)
-    train, test = splits.split_by_table(rows, _test_ids(spark, sf_dir))
-    marked = features.union_samples([train.withColumn("split", F.lit("train")), test.withColumn("split", F.lit("test"))])
+    marked = splits.split_test(views.parsed(spark, sf_dir), _test_ids(spark, sf_dir))
     return marked.groupBy("split", "sample_id").agg(F.count("*").alias("n"), r6(F.sum("el_power")).alias("el_power"))
 
 
 @query
 def split_pool(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
-    marked = splits.split_test(rows, test_ids=[4, 12], pool=range(0, 100), drop_unused=False)
+    ids = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"))
+    marked = splits.split_test(rows, [4, 12], pool=ids.where("sample_id < 100"), drop_unused=False)
     return marked.select("sample_id", "time", "split")
 
 
@@ -328,8 +328,7 @@ def scale_by_bounds(spark, sf_dir):
 @query
 def align_xy(spark, sf_dir):
     rows, layout = views.signals(spark, sf_dir)
-    x = features.lag_features(rows, ["input_voltage"], LAG - 1, 1, layout)
-    return features.align_xy(x, rows.select("sample_id", "time", "el_power"), layout)
+    return features.align_xy(rows, ["input_voltage"], "el_power", LAG - 1, layout)
 
 
 @query
@@ -637,7 +636,7 @@ def expected_response(spark, sf_dir):
 def response_residuals(spark, sf_dir):
     rows, layout, expected = _response(spark, sf_dir)
     resting = rows.select("sample_id", "time", physics.static_curve(F.col("el_power").cast("double")).alias("y_true"))
-    both = features.align_xy(resting, expected.withColumnRenamed("expected", "y_pred"), layout)
+    both = features.join_aligned(resting, expected.withColumnRenamed("expected", "y_pred"), layout)
     return scores.regression_metrics(both).select(
         "sample_id", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("maxae").alias("maxae")
     )
@@ -755,11 +754,31 @@ def predict_samples(spark, sf_dir):
     )
 
 
+def _guided_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a guided fit on the training series, validated on the test series."""
+    rows, names, layout = _model_rows(spark, sf_dir)
+    sizes = views.with_split(views.tail_sizes(spark, sf_dir, 1))
+    batches = {
+        s: consistency.batch_blocks(rows.where(F.col("split") == s), layout=layout, sizes=sizes.where(F.col("split") == s))
+        for s in ("train", "test")
+    }
+    model = models.fit_tgds_linear(batches["train"], names, "el_power_t", GUIDED_RULE, FIT_STEPS, batches["test"])
+    columns = ("loss", "mse", "tgds", "val_loss", "val_mse", "val_tgds")
+    steps = [(1, h["epoch"], *(h[c] for c in columns)) for h in model.history]
+    return spark.createDataFrame(steps, "run_id bigint, epoch bigint, " + ", ".join(f"{c} double" for c in columns))
+
+
 @query
 def fit_tgds_linear(spark, sf_dir):
-    rows, names, layout = _model_rows(spark, sf_dir)
-    train = views.with_split(views.tail_sizes(spark, sf_dir, 1)).where("split = 'train'")
-    batches = consistency.batch_blocks(rows.where("split = 'train'"), layout=layout, sizes=train)
-    model = models.fit_tgds_linear(batches, names[-1:], "el_power_t", GUIDED_RULE, FIT_STEPS)
-    steps = [(h["epoch"], round(h["loss"], 6), round(h["mse"], 6), round(h["tgds"], 6)) for h in model.history]
-    return spark.createDataFrame(steps, "epoch bigint, loss double, mse double, tgds double")
+    losses = ("loss", "mse", "tgds", "val_loss", "val_mse", "val_tgds")
+    return _rounded(_guided_history(spark, sf_dir).drop("run_id"), *losses)
+
+
+@query
+def guided_replay(spark, sf_dir):
+    """Best epoch, checkpoints and stop of the guided fit, from its own history."""
+    rows = _guided_history(spark, sf_dir).withColumn("val_loss", r6("val_loss"))
+    layout = replace(history.EPOCHS, longest=FIT_STEPS, dense=True)
+    saved = history.checkpoint_epochs(rows, layout).groupBy("run_id").agg(F.max("epoch").alias("last_saved"), F.count("*").alias("saves"))
+    stop = history.early_stop_epoch(rows, 1, layout)
+    return history.best_epoch(rows).join(saved, "run_id").join(stop, "run_id")

@@ -47,18 +47,21 @@ def event_size(spark: SparkSession, sf_dir: str) -> Size:
     return measure(table(spark, sf_dir, "events"), ("user_id",))
 
 
-def signals(spark: SparkSession, sf_dir: str, size: Size | None = None) -> tuple[DataFrame, Layout]:
-    """Events of a user as a series with dense ticks, and its layout with the measured longest series."""
-    size = size or event_size(spark, sf_dir)
-    # Parsed before the shuffle, so that it moves a number and not the JSON text.
-    parsed = table(spark, sf_dir, "events").select(
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of series, not numbered yet. Parsed before any shuffle, which then moves a number and not JSON text."""
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("sample_id"),
         F.col("value").alias("input_voltage"),
         F.get_json_object("props", "$.k").cast("double").alias("el_power"),
         "ts",
         "event_id",
     )
-    rows = ordinals(parsed, ("sample_id",), ("ts", "event_id"), "time", size)
+
+
+def signals(spark: SparkSession, sf_dir: str, size: Size | None = None) -> tuple[DataFrame, Layout]:
+    """Events of a user as a series with dense ticks, and its layout with the measured longest series."""
+    size = size or event_size(spark, sf_dir)
+    rows = ordinals(parsed(spark, sf_dir), ("sample_id",), ("ts", "event_id"), "time", size)
     return rows, replace(SIGNALS, longest=size.longest, dense=True)
 
 

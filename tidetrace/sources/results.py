@@ -13,17 +13,32 @@ from tidetrace.sources.signals import CONFIG_SCHEMA, RESULT_SCHEMA
 
 
 def read_json_tree(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """Every ``name`` below ``root``, at any depth, with ``folder`` = its path below ``root``.
+    """Every object of every ``name`` below ``root``, at any depth, with ``folder`` = its path below ``root``.
 
-    ``name`` is a JSON file, or a folder of that name as Spark writes one. Files are told apart by a filter on their
-    path, which prunes the listing before anything is read.
+    ``name`` is a JSON file, or a folder of that name as Spark writes one. A file has an object in each line, or a single one
+    over several lines; files with a line that isn't an object are read as the latter. Files are told apart by a filter on
+    their path, which prunes the listing before anything is read.
     """
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root)
     path = F.col("_metadata.file_path")
     file, top = re.escape(name), re.escape(root.strip("/"))
-    wanted = rows.where(path.rlike(rf"/{file}(/[^/]*)?$"))
-    home = F.regexp_extract(path, rf"^.*{top}/(.*?)/?{file}(?:/[^/]*)?$", 1)
-    return wanted.select(F.concat(home, F.lit("/")).alias("folder"), "*")
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows.where(path.rlike(rf"/{file}(/[^/]*)?$")).select(path.alias("_path"), "*")
+
+    bad = "_bad"
+    options = {"columnNameOfCorruptRecord": bad}
+    lines = wanted(spark.read.option("recursiveFileLookup", True).text(root)).where(F.trim("value") != "")
+    parsed = lines.select("_path", F.from_json("value", _with(schema, bad), options).alias("o"))
+    whole = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+    spread = parsed.where(F.col(f"o.{bad}").isNotNull()).select("_path").distinct()
+    single = parsed.join(spread, "_path", "left_anti").select("_path", "o.*").drop(bad)
+    rows = single.unionByName(wanted(whole).join(spread, "_path", "left_semi"))
+    home = F.regexp_extract("_path", rf"^.*{top}/(.*?)/?{file}(?:/[^/]*)?$", 1)
+    return rows.select(F.concat(home, F.lit("/")).alias("folder"), *schema.names)
+
+
+def _with(schema: T.StructType, column: str) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(column, T.StringType())])
 
 
 def scan_results(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,9 +118,16 @@ def write_info(df: DataFrame, path: str) -> None:
 write_result = write_info
 
 
-def write_config(df: DataFrame, path: str) -> None:
-    """Written once; an existing config stays as it is."""
-    df.write.mode("ignore").json(path)
+def write_config(df: DataFrame, path: str, run: str = "folder") -> None:
+    """Add the configs of runs that have none yet; an existing config stays as it is. ``run`` tells runs apart."""
+    try:
+        known = df.sparkSession.read.schema(df.schema).json(path).select(run)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        df = df.join(known, run, "left_anti").select(*df.columns)
+    df.write.mode("append").json(path)
 
 
 def write_nested_predictions(df: DataFrame, path: str, text: bool = False) -> None:
