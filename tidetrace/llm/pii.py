@@ -32,8 +32,8 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 
-#: Dates are permuted among those of these years: 73,049 days, 319 x 229.
-FIRST_DAY, DAY_PAIR = "1900-01-01", (319, 229)
+#: Dates are permuted among 1900-01-01 to 2100-01-01: 73,050 days, 150 x 487.
+FIRST_DAY, DAY_PAIR = "1900-01-01", (150, 487)
 #: Areas 1 to 899 without 666; groups 1 to 99 with serials 1 to 9999.
 SSN_PAIR = (898, 99 * 9999)
 IP_PAIR = (1 << 16, 1 << 16)
@@ -213,7 +213,7 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text", counts: str
     """``documents`` with pseudonyms in ``text``, and a column ``counts`` with how many.
 
     Matches are found from the left and don't overlap. What looks like a kind but fails its check stays as it is: a card number
-    or IBAN with a wrong check digit, an address part above 255, a day that isn't in the calendar or in 1900 to 2099. Dates
+    or IBAN with a wrong check digit, an address part above 255, a day that isn't in the calendar or before 1900 or after 2100-01-01. Dates
     written in different ways are linked as the same day. Null texts stay null and count 0. If a column is called ``counts``
     already, underscores are added to the new one.
     """
