@@ -109,3 +109,18 @@ def test_batches_are_not_placed_by_one_task(spark):
     assert single
     for below in (plan[i + 1] for i in single):
         assert "HashAggregate(keys=[_block" in below or "Aggregate(keys=[], functions=[partial_" in below
+
+
+@pytest.mark.parametrize("kind", ["sparse", "text"])
+def test_batches_of_sparse_and_text_ids(spark, kind, monkeypatch):
+    """Row numbers follow the order of ids of any kind, with several blocks of ids."""
+    from tidetrace.operators import consistency
+
+    monkeypatch.setattr(consistency, "ID_BLOCK", 3)
+    ids = sorted((i * 0x9E3779B97F4A7C15) % (1 << 62) - (1 << 61) for i in range(1, 21))
+    if kind == "text":
+        ids = sorted(f"run-{i % 9973}" for i in ids)
+    rows = [(s, t, 0.0) for k, s in enumerate(ids) for t in range(k % 4 + 1)]
+    df = spark.createDataFrame(rows, f"sample_id {'string' if kind == 'text' else 'bigint'}, time bigint, y double")
+    got = batch_blocks(df, 4).orderBy("row_no").collect()
+    assert [(r.sample_id, r.time, r.row_no) for r in got] == [(s, t, i) for i, (s, t, _) in enumerate(rows)]

@@ -101,3 +101,13 @@ def test_whole_table_as_one_group(series):
     sizes = df.groupBy("sample_id").agg(F.count("*").alias("n"))
     got = running(sizes, by_id, {"before": ("sum", F.col("n"))}, exclusive=True)
     assert sorted_rows(got.select("sample_id", "before")) == [(1, None), (2, 120), (3, 127), (9, 128)]
+
+
+@pytest.mark.parametrize("cast", ["date_add(date'2020-01-01', cast(n as int))", "concat('id-', lpad(n, 5, '0'))", "cast(n as decimal(12, 2))"])
+def test_ordinals_by_other_types(spark, cast):
+    """A large group is cut into ranges whatever the type of its order column."""
+    df = spark.range(300).selectExpr("1L as k", "(id * 7919) % 300 as n").selectExpr("k", "n", f"{cast} as o")
+    got = ordinals(df, ("k",), ("o", "n"), "place", chunk=16)
+    assert [r.place for r in got.orderBy("n").collect()] == list(range(300))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text or "_r0" in text
