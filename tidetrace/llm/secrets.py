@@ -6,7 +6,6 @@ a checksum, the checksum too. Runs of hex digits have no keyword and are found b
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
