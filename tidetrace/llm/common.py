@@ -31,8 +31,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row. ``df`` is a table that is read: the same files give the same numbers in every pass."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A number for each row, written with the rows: every pass reads the same numbers, however a scan is split."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def count_words(text: str | Column) -> Column:
