@@ -52,7 +52,7 @@ def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
-    return line_dedup.repeated_lines(documents).select("doc_id", "n", "kept_doc_id", "kept_n", "component")
+    return line_dedup.repeated_lines(documents, line_dedup.WHOLE).select("doc_id", "n", "kept_doc_id", "kept_n", "component")
 
 
 @query
