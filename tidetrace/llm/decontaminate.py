@@ -29,12 +29,13 @@ from tidetrace.llm.common import written
 class Rule:
     """``seed`` words per seed. A seed is rare for an item if at most ``rare`` times as many documents hold it as hold the
     item's median seed. Alignments score ``match`` for equal words and -1 for other words and gaps; a pair is reported from
-    ``least`` times the score of the whole item on. Items under ``shortest`` words say too little and match nothing."""
+    ``least`` times the score of the whole item on, and whatever its share if ``run`` words in a row are the item's. Items under ``shortest`` words say too little and match nothing."""
 
     seed: int = 4
     rare: int = 4
     match: int = 2
     least: float = 0.4
+    run: int = 13
     shortest: int = 8
     #: Items of one block have about so many words together: 8 MB of seeds.
     block_words: int = 1 << 20
@@ -95,9 +96,20 @@ def align(item: np.ndarray, words: np.ndarray, match: int = 2) -> tuple[int, int
     return best, end
 
 
-def _passages(words: np.ndarray, hits: np.ndarray, item: np.ndarray, match: int) -> tuple[int, int, int]:
-    """(score, first word, place after the last) of an item's best passage, given where it would begin for each seed hit."""
-    best = (0, 0, 0)
+def longest_run(item: np.ndarray, words: np.ndarray) -> int:
+    """The most words in a row that an item and words share."""
+    row = np.zeros(len(words) + 1, np.int64)
+    best = 0
+    for word in item:
+        row[1:] = np.where(words == word, row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
+    return best
+
+
+def _passages(words: np.ndarray, hits: np.ndarray, item: np.ndarray, match: int) -> tuple[int, int, int, int]:
+    """(score, first word, place after the last) of an item's best passage, given where it would begin for each seed hit, and
+    the longest run of the item's words in any."""
+    best, run = (0, 0, 0), 0
     hits = np.unique(hits)
     size = len(item)
     for group in np.split(hits, np.flatnonzero(np.diff(hits) > size) + 1):
@@ -107,7 +119,8 @@ def _passages(words: np.ndarray, hits: np.ndarray, item: np.ndarray, match: int)
         if score > best[0]:
             _, back = align(item[::-1], window[:end][::-1], match)
             best = (score, low + end - back, low + end)
-    return best
+        run = max(run, longest_run(item, window))
+    return *best, run
 
 
 def _read_items(benchmark: DataFrame, blocks: int, block: int, rule: Rule) -> tuple[list, list[np.ndarray]]:
@@ -186,9 +199,9 @@ def _scan(documents: DataFrame, ids: list, items: list[np.ndarray], id_type: T.D
                         continue
                     k, i = divmod(int(group[0]), len(wanted))
                     words = piece.hashes[piece.bounds[k] : piece.bounds[k + 1]]
-                    score, first, last = _passages(words, starts, wanted[i], rule.match)
+                    score, first, last, run = _passages(words, starts, wanted[i], rule.match)
                     score /= rule.match * len(wanted[i])
-                    if score >= rule.least:
+                    if score >= rule.least or run >= rule.run:
                         of.append(piece.first + k)
                         found.append((names[i], score, first, last - 1))
             columns = [pa.array([f[k] for f in found]) for k in range(4)]
