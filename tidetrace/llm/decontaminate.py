@@ -1,6 +1,6 @@
 """Find passages of benchmark items in training texts, edited ones too.
 
-Seeds are the runs of four words of the items. One pass counts in how many documents each seed occurs; an item keeps those
+Seeds are three words of the items, in a row or with one of four left out. One pass counts in how many documents each seed occurs; an item keeps those
 that are rare for it. In a second pass, documents that hold a kept seed have the text around it aligned with the item by
 Smith-Waterman over words, and pairs with a high enough score are reported.
 
@@ -27,11 +27,11 @@ from tidetrace.llm.common import written
 
 @dataclass(frozen=True)
 class Rule:
-    """``seed`` words per seed. A seed is rare for an item if at most ``rare`` times as many documents hold it as hold the
+    """The places of a seed's words are one of ``seeds``. A seed is rare for an item if at most ``rare`` times as many documents hold it as hold the
     item's median seed. Alignments score ``match`` for equal words and -1 for other words and gaps; a pair is reported from
     ``least`` times the score of the whole item on, and whatever its share if ``run`` words in a row are the item's. Items under ``shortest`` words say too little and match nothing."""
 
-    seed: int = 4
+    seeds: tuple[tuple[int, ...], ...] = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
     rare: int = 4
     match: int = 2
     least: float = 0.4
@@ -41,21 +41,37 @@ class Rule:
     block_words: int = 1 << 20
 
 
+#: Factors of the words of a seed.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
 def _lowered(texts: pa.Array) -> Iterator[shingles.Words]:
     """Words of letters and digits in lower case."""
     return shingles.words(pc.utf8_lower(texts), shingles.BARE)
 
 
+def _picked(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """The hash of the words at ``places`` from each word on that has them all. Other places give other hashes."""
+    n = len(words) - places[-1]
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, sum(1 << k for k in places), np.uint64)
+    for k, place in enumerate(places):
+        out += words[place : n + place] * np.uint64(_ODD[k])
+    return shingles.mix(out)
+
+
 class Seeds:
     """The seeds of a block of items: sorted distinct hashes, and where each occurs in an item."""
 
     def __init__(self, items: list[np.ndarray], rule: Rule):
-        runs = [shingles.runs(words, rule.seed) for words in items]
+        runs = [_picked(words, places) for words in items for places in rule.seeds]
+        of = np.repeat(np.arange(len(items)), len(rule.seeds))
         every = np.concatenate([*runs, np.zeros(0, np.uint64)])
         order = np.argsort(every, kind="stable")
         self.hashes, first = np.unique(every[order], return_index=True)
         self.bounds = np.append(first, len(every))
-        self.item = np.repeat(np.arange(len(items)), [len(r) for r in runs])[order]
+        self.item = np.repeat(of, [len(r) for r in runs])[order]
         self.place = np.concatenate([*(np.arange(len(r)) for r in runs), np.zeros(0, np.int64)])[order]
         self.marks = np.zeros(1 << 22, bool)
         self.marks[self.hashes & np.uint64((1 << 22) - 1)] = True
@@ -72,11 +88,14 @@ class Seeds:
 
 def _hits(piece: shingles.Words, seeds: Seeds, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in the text, seed) of the seeds in a piece, those across two texts left out."""
-    at, which = seeds.find(shingles.runs(piece.hashes, rule.seed))
-    text = np.searchsorted(piece.bounds, at, side="right") - 1
-    inside = at + rule.seed <= piece.bounds[text + 1]
-    at, which, text = at[inside], which[inside], text[inside]
-    return text, at - piece.bounds[text], which
+    found = []
+    for places in rule.seeds:
+        at, which = seeds.find(_picked(piece.hashes, places))
+        text = np.searchsorted(piece.bounds, at, side="right") - 1
+        inside = at + places[-1] < piece.bounds[text + 1]
+        at, which, text = at[inside], which[inside], text[inside]
+        found.append((text, at - piece.bounds[text], which))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def align(item: np.ndarray, words: np.ndarray, match: int = 2) -> tuple[int, int]:
