@@ -28,13 +28,13 @@ from tidetrace.llm.components import components, extended
 class Plan:
     """``words`` per shingle; links are pairs with 100 |A and B| >= ``percent`` |A or B|. ``bands`` of ``rows`` minima each: a
     linked pair shares no band with probability (1 - 0.75^5)^32 = 0.0002 at the threshold, 0.000003 at 0.8. Pairs whose
-    signatures agree in less than ``least`` of the places are not compared; at the threshold that is 4.4 deviations off."""
+    signatures agree in less than ``least`` of the places are not compared; at the threshold that is 5.8 deviations off."""
 
     words: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 5
-    least: float = 0.6
+    least: float = 0.55
     seed: int = 3
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
