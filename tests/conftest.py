@@ -6,9 +6,7 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SMALL = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
@@ -37,7 +35,3 @@ def series(spark):
     rows = [(k, t, float(v)) for k, vs in values.items() for t, v in enumerate(vs)]
     draw.shuffle(rows)
     return values, spark.createDataFrame(rows, "sample_id bigint, time bigint, y double").cache()
-
-
-def rows_of(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.select(*columns).collect())

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from series_cases import rows_of
 from pyspark.sql import functions as F
 
 from tidetrace.functions.scaling import minmax_inverse, minmax_scale, scale_steepness

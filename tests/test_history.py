@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from series_cases import rows_of
 
 from tidetrace.operators import history
 from tidetrace.plans.layout import Layout

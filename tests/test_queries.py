@@ -8,7 +8,7 @@ from functools import partial
 
 import duckdb
 import pytest
-from conftest import SMALL
+from series_cases import SMALL
 
 import __spark_entry__ as entry_point
 from tidetrace.plans import views

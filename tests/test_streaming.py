@@ -3,7 +3,7 @@ from __future__ import annotations
 import shutil
 
 import pytest
-from conftest import SMALL
+from series_cases import SMALL
 
 from tidetrace.functions.physics import TwoState
 from tidetrace.streaming import consistency as live
