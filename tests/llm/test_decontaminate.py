@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from cases import ODD, SCHEMA, table
+from text_cases import ODD, SCHEMA, table
 from pyspark.sql import functions as F
 
 from tidetrace.llm import decontaminate

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from cases import table
+from text_cases import table
 
 from tidetrace.llm import decontaminate
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import ODD, SCHEMA, table
+from text_cases import ODD, SCHEMA, table
 from pyspark.sql import functions as F
 
 from tidetrace.llm import discriminant

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import ODD, SCHEMA, table
+from text_cases import ODD, SCHEMA, table
 from pyspark.sql import functions as F
 
 from tidetrace.llm import minhash, shingles

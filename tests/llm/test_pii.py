@@ -5,7 +5,7 @@ import hashlib
 import re
 
 import pytest
-from cases import LONG, ODD, SCHEMA, table
+from text_cases import LONG, ODD, SCHEMA, table
 from pyspark.sql import functions as F
 
 from tidetrace.llm import pii

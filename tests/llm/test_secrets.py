@@ -6,7 +6,7 @@ import re
 import zlib
 
 import pytest
-from cases import ODD, SCHEMA, table
+from text_cases import ODD, SCHEMA, table
 
 from tidetrace.llm import secrets
 

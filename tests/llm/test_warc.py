@@ -5,7 +5,7 @@ import io
 import random
 
 import pytest
-from cases import table
+from text_cases import table
 from pyspark.sql import functions as F
 
 from tidetrace.llm import warc
