@@ -35,4 +35,4 @@ def test_sql(spark, sql, name):
 def test_all_are_registered():
     names = entry_point.queries()
     assert set(QUERIES) < set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.llm import decontaminate, discriminant, fair_queue, host_rules, line_dedup, minhash, pii, secrets, unit_dedup, warc
+from tidetrace.llm import (
+    backoff,
+    centroids,
+    decontaminate,
+    discriminant,
+    fair_queue,
+    host_rules,
+    line_dedup,
+    minhash,
+    periodic_runs,
+    pii,
+    secrets,
+    unit_dedup,
+    warc,
+)
 from tidetrace.llm.common import table, with_row_id, written
 from tidetrace.llm.oracle import ORACLE  # noqa: F401
 from tidetrace.session import scratch_path
@@ -90,3 +104,26 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("text", periodic_runs.looped("doc_id", "text"))
+    return periodic_runs.digest(periodic_runs.find_runs(documents))
+
+
+@query
+def op12_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = backoff.held_out("doc_id")
+    scored = backoff.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.withColumn("held_out", held).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(centroids.usable("embedding", 64))
+    vectors = rows.select("vec_id", centroids.grid("embedding").alias("x"))
+    clustered, last = centroids.cluster(vectors, centroids.drawn(vectors, k=16, seed=1), rounds=3)
+    return centroids.summary(written(clustered, "clustered"), last)
