@@ -91,7 +91,7 @@ def test_lanes(spark, tmp_path, monkeypatch, order):
     """A text walked in many lanes has the score it has in one."""
     rows = [(i, " ".join(f"w{(k * k + i) % 23}" for k in range(300))) for i in range(30)]
     docs = table(spark, rows, "doc_id long, text string", tmp_path)
-    texts = backoff.read_piece(np.arange(1, 24, dtype=np.uint64).tobytes(), (np.arange(2300) ** 2 % 23).astype(np.int32).tobytes(), [2000, 300], [True, True], order)
+    texts = backoff.read_piece(np.arange(1, 24, dtype=np.uint64).tobytes(), (np.arange(2300) ** 2 % 23).astype(np.uint16).tobytes(), [2000, 300], [True, True], order)
     automaton = backoff.Automaton(texts, texts.counts(), 2302, 24, Model(order))
     monkeypatch.setattr(backoff, "LANE", 10_000)
     expected = automaton.walk()

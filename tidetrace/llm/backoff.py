@@ -50,7 +50,11 @@ class Model:
 
 def piece_words(total: int) -> int:
     """Words in a piece: more in larger collections, so that a frequent n-gram is asked for by a bounded number of pieces."""
-    return min(max(total >> 12, 1 << 19), 1 << 23)
+    return min(max(total >> 12, 1 << 18), 1 << 23)
+
+
+def _width(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
 
 def cut(documents: DataFrame, trains: Column, words: int) -> DataFrame:
@@ -77,7 +81,7 @@ def cut(documents: DataFrame, trains: Column, words: int) -> DataFrame:
             trains = pa.concat_arrays([t for _, t, _, _ in held])
             sizes = pa.array(np.concatenate([n for _, _, _, n in held]), pa.int64())
             lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (ids, trains, sizes)]
-            blobs = [pa.array([a.tobytes()], pa.binary()) for a in (vocabulary, tokens.astype(np.int32))]
+            blobs = [pa.array([a.tobytes()], pa.binary()) for a in (vocabulary, tokens.astype(_width(len(vocabulary))))]
             return pa.RecordBatch.from_arrays([pa.array([number]), *lists, *blobs], names)
 
         for batch in batches:
@@ -116,7 +120,8 @@ class Texts:
 
 
 def read_piece(vocabulary: bytes, tokens: bytes, sizes: list[int], trains: list[bool], order: int) -> Texts:
-    hashes = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(tokens, np.int32)]
+    known = np.frombuffer(vocabulary, np.uint64)
+    hashes = known[np.frombuffer(tokens, _width(len(known)))]
     sizes = np.asarray(sizes, np.int64)
     ends = np.cumsum(sizes + 2)
     starts = ends - sizes - 2
