@@ -20,10 +20,10 @@ ROWS = [
 ]
 
 
-def brute(rows, unit, min_words=8):
+def brute(rows, unit, min_words=1):
     places = defaultdict(set)
     for doc, text in rows:
-        for start, end, digest in unit_dedup.units_of(text, unit, min_words):
+        for start, end, _, digest in unit_dedup.units_of(text, unit, min_words):
             places[digest].add((doc is None, doc, start, end))
     out = set()
     for found in places.values():
@@ -32,32 +32,44 @@ def brute(rows, unit, min_words=8):
     return out
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_against_brute(spark, tmp_path, unit):
+@pytest.mark.parametrize("unit, floor", [("line", 1), ("paragraph", 1), ("line", 8)])
+def test_against_brute(spark, tmp_path, unit, floor):
     docs = table(spark, ROWS, "doc_id long, text string", tmp_path)
-    got = unit_dedup.repeated_units(docs, unit)
-    assert {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in got.collect()} == brute(ROWS, unit)
+    got = unit_dedup.repeated_units(docs, unit, floor)
+    assert {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in got.collect()} == brute(ROWS, unit, floor)
     texts = dict(ROWS)
     for r in got.where("doc_id is not null").collect():
-        assert len(texts[r.doc_id][r.start : r.end].split()) >= 8
+        assert len(texts[r.doc_id][r.start : r.end].split()) == r.words >= floor
 
 
 def test_units():
     text = "a b\n\n \nc d é\ne\n\nf"
-    assert [(s, e) for s, e, _ in unit_dedup.units_of(text, "line", 1)] == [(0, 3), (7, 12), (13, 14), (16, 17)]
-    assert [text[s:e] for s, e, _ in unit_dedup.units_of(text, "paragraph", 1)] == ["a b", "c d é\ne", "f"]
+    assert [(s, e) for s, e, _, _ in unit_dedup.units_of(text, "line", 1)] == [(0, 3), (7, 12), (13, 14), (16, 17)]
+    assert [text[s:e] for s, e, _, _ in unit_dedup.units_of(text, "paragraph", 1)] == ["a b", "c d é\ne", "f"]
     assert unit_dedup.units_of(None) == unit_dedup.units_of("") == []
 
 
 def test_remove(spark, tmp_path):
-    docs = table(spark, ROWS[:3], "doc_id long, text string", tmp_path).withColumn("start", F.lit("clash"))
-    left = unit_dedup.remove_units(docs, unit_dedup.repeated_units(docs))
-    assert left.columns == docs.columns
-    assert {r.doc_id: r.text for r in left.collect()} == {1: ROWS[1][1], 2: f"é {A}\n\n\n", 3: "short\n\n\n"}
+    """Units of any length go, in rows with null or repeated ids too, and say where they were."""
+    docs = table(spark, ROWS, "doc_id long, text string", tmp_path).withColumn("start", F.lit("clash"))
+    left = unit_dedup.remove_units(docs)
+    assert left.columns == [*docs.columns, "removed"]
+    rows = left.collect()
+    same = f"only {B} here"
+    assert sorted((str(r.doc_id), r.text) for r in rows) == sorted(
+        [("1", ROWS[1][1]), ("2", f"é {A}\n\n\n"), ("3", "\n\n\n"), ("None", "\n"), ("4", same), ("4", same)]
+    )
+    texts = {r[0]: r[1] for r in ROWS}
+    for r in rows:
+        cut = [(s.start, s.end) for s in r.removed]
+        whole = "".join(c for i, c in enumerate(texts[r.doc_id]) if not any(a <= i < b for a, b in cut))
+        assert whole == r.text
+        assert all(texts[s.kept_doc_id][s.kept_start :].lower().split()[: s.words] == texts[r.doc_id][s.start : s.end].lower().split() for s in r.removed)
 
 
 def test_odd_rows(spark, tmp_path):
-    docs = table(spark, ODD, SCHEMA, tmp_path / "a").withColumn("end", F.lit(0))
+    docs = table(spark, ODD, SCHEMA, tmp_path / "a").withColumn("end", F.lit(0)).withColumn("removed", F.lit(0)).withColumn("_row", F.lit(0))
     assert sorted(r.doc_id is None for r in unit_dedup.repeated_units(docs).collect()) == [True]
-    assert unit_dedup.remove_units(docs, unit_dedup.repeated_units(docs)).count() == len(ODD)
-    assert unit_dedup.repeated_units(table(spark, [], SCHEMA, tmp_path / "b")).collect() == []
+    left = unit_dedup.remove_units(docs).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(r[0]), str(r[1]) if r[0] else "") for r in ODD)
+    assert unit_dedup.remove_units(table(spark, [], SCHEMA, tmp_path / "b")).collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidetrace.session import scratch_path
@@ -10,6 +10,9 @@ from tidetrace.session import scratch_path
 #: A word: a run of anything but a blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Names of files up to this number (some 20 MB) are sent to all tasks; more are joined by a shuffle.
+SENT_FILES = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +38,21 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def with_scan_id(df: DataFrame, name: str) -> DataFrame:
+    """A number for each row of a scanned table, ``df``, to which columns may have been added and from which rows may have been left
+    out: the number of its file and the row's place there, which are the same in every pass and need no copy of the rows.
+    """
+    path, place = free_name(df, "_path"), free_name(df, "_place")
+    scanned = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    files = scanned.select(path).distinct()
+    # a file in a line: this table has no more rows than the collection has files
+    order = Window.partitionBy(F.lit(0)).orderBy(path)
+    files = written(files.withColumn(name, F.row_number().over(order).cast("bigint")), "files")
+    few = files.count() <= SENT_FILES
+    numbered = scanned.join(F.broadcast(files) if few else files, path)
+    return numbered.withColumn(name, F.shiftleft(name, 40) + F.col(place)).drop(path, place)
+
+
 def count_words(text: str | Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -29,10 +29,17 @@ with cut as (select doc_id, string_split(text, chr(10)) as lines from documents
 l as (select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as n from cut),
 s as (select *, (sum(length(line) + 1) over (partition by doc_id order by n) - length(line) - 1)::bigint as start,
         regexp_extract_all(lower(line), '[^\s]+') as w from l),
-u as (select doc_id, start, start + length(line) as "end", array_to_string(w, ' ') as norm from s where len(w) >= 8),
-k as (select norm, count(*) as n_copies, min({'d': doc_id, 's': start}) as kept from u group by norm)
-select doc_id, start, "end", n_copies, kept.d as kept_doc_id, kept.s as kept_start
-from u join k using (norm) where (doc_id, start) <> (kept.d, kept.s)
+u as (select doc_id, n, start, start + length(line) as "end", len(w) as words, array_to_string(w, ' ') as norm from s where len(w) > 0),
+k as (select norm, count(*) as n_copies, min({'d': doc_id, 's': start}) as kept from u group by norm),
+gone as (select doc_id, n, words, start, concat_ws(':', start, "end", n_copies, kept.d, kept.s) as span
+         from u join k using (norm) where (doc_id, start) <> (kept.d, kept.s)),
+spans as (select doc_id, count(*) as n_removed, sum(words)::bigint as words_removed, string_agg(span, ',' order by start) as spans
+          from gone group by doc_id),
+rest as (select s.doc_id, string_agg(case when gone.n is null then line else '' end, chr(10) order by s.n) as text
+         from s left join gone on gone.doc_id = s.doc_id and gone.n = s.n group by s.doc_id)
+select doc_id, coalesce(n_removed, 0)::bigint as n_removed, coalesce(words_removed, 0)::bigint as words_removed,
+  coalesce(spans, '') as spans, rest.text
+from documents left join spans using (doc_id) left join rest using (doc_id)
 """
 
 ORACLE["op6_host_rules"] = rf"""

@@ -71,7 +71,16 @@ def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    left = unit_dedup.remove_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s.start, s.end, s.n_copies, s.kept_doc_id, s.kept_start))
+    words = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s.words)
+    return left.select(
+        "doc_id",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        words.alias("words_removed"),
+        F.array_join(spans, ",").alias("spans"),
+        "text",
+    )
 
 
 @query
