@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import written
+from tidetrace.llm.common import discard, written
 
 
 def _hand_out(links: DataFrame, lowest: DataFrame) -> DataFrame:
@@ -46,9 +46,14 @@ def components(edges: DataFrame) -> DataFrame:
     larger = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars = written(larger.distinct(), "edges")
     while not _done(stars):
-        stars = written(_small_star(written(_large_star(stars), "stars")), "stars")
+        large = written(_large_star(stars), "stars")
+        small = written(_small_star(large), "stars")
+        discard(stars, large)
+        stars = small
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return written(found.union(found.select("component", "component").distinct()), "components")
+    both = written(found.union(found.select("component", "component").distinct()), "components")
+    discard(stars)
+    return both
 
 
 def extended(found: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from tidetrace.llm import (
     unit_dedup,
     warc,
 )
-from tidetrace.llm.common import table, with_row_id, written
+from tidetrace.llm.common import table, with_scan_id, written
 from tidetrace.llm.oracle import ORACLE  # noqa: F401
 from tidetrace.session import scratch_path
 
@@ -65,7 +65,7 @@ def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    documents = with_scan_id(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
     return line_dedup.repeated_lines(documents, line_dedup.WHOLE).select("doc_id", "n", "kept_doc_id", "kept_n", "component")
 
 
