@@ -710,14 +710,14 @@ def _keep_slices(spark: SparkSession, sf_dir: str, length: str) -> str:
 @query
 def stream_tgds(spark, sf_dir):
     path = _keep_slices(spark, sf_dir, STREAM_SLICE)
-    windows = live.window_scores(live.latest_slices(spark, path), STREAM_RULE, STREAM_WINDOW)
+    windows = live.window_scores(live.latest_slices(spark, path, STREAM_RULE), STREAM_RULE, STREAM_WINDOW)
     return _rounded(live.total_score(windows, STREAM_RULE), "total", "loss_tgds")
 
 
 @query
 def stream_batch_log(spark, sf_dir):
     path = _keep_slices(spark, sf_dir, STREAM_WINDOW)
-    log = live.window_scores(live.closed_slices(spark, path, delay=None), STREAM_RULE, STREAM_WINDOW)
+    log = live.window_scores(live.closed_slices(spark, path, STREAM_RULE, delay=None), STREAM_RULE, STREAM_WINDOW)
     return _rounded(log, "moving", "still", "total").select(
         "sample_id", F.unix_seconds("window_start").alias("window_start"), "n", "steps", "moving", "still", "total"
     )
