@@ -129,7 +129,6 @@ def test_compact_expire_and_late_rows(spark, tmp_path):
     assert [r[:4] for r in again] == [r[:4] for r in expected]
     assert [r[4:] for r in again] == [pytest.approx(r[4:]) for r in expected]
     assert live.late_rows(spark, out).count() == 0
-    shutil.rmtree(f"{out}/late")
     stream(spark, second, out, tmp_path, "three")
     late = live.late_rows(spark, out)
     assert 0 < late.count() < 1000 and late.selectExpr("max(slice_end)").first()[0] <= limit
