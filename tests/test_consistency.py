@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidetrace.functions.physics import TwoState
+from tidetrace.operators import consistency
 from tidetrace.operators.consistency import abs_differences, batch_blocks, tgds_loss_by_batch, tgds_metric, tgds_sweep
 
 
@@ -124,3 +125,19 @@ def test_batches_of_sparse_and_text_ids(spark, kind, monkeypatch):
     df = spark.createDataFrame(rows, f"sample_id {'string' if kind == 'text' else 'bigint'}, time bigint, y double")
     got = batch_blocks(df, 4).orderBy("row_no").collect()
     assert [(r.sample_id, r.time, r.row_no) for r in got] == [(s, t, i) for i, (s, t, _) in enumerate(rows)]
+
+
+def test_blocks_of_any_ids(spark, monkeypatch):
+    """Blocks of ids hold about as many ids, in order, also where ids share their beginning or one is far from all others."""
+    monkeypatch.setattr(consistency, "ID_BLOCK", 100)
+    for ids in ("format_string('sample_%06d', id)", "if(id = 999, 1L << 60, id)", "id * id * id", "if(id = 0, null, id)"):
+        sizes = spark.range(1000).selectExpr(f"{ids} as sample_id", "id + 1 as length", "0 as first_tick")
+        blocks = consistency.id_blocks(sizes, "sample_id").groupBy("_block")
+        got = blocks.agg(F.count("*").alias("n"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi")).orderBy("_block").collect()
+        assert len(got) >= 8 and max(r.n for r in got) <= 200
+        assert all(a.hi < b.lo for a, b in zip(got, got[1:]))
+        placed = consistency.series_offsets(sizes).orderBy(F.col("sample_id").asc_nulls_first()).collect()
+        expected = 0
+        for r in placed:
+            assert r.offset == expected
+            expected += r.length

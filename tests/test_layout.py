@@ -86,10 +86,10 @@ def test_ordinals_of_awkward_values(spark):
 
 def test_ordinals_cut_a_crowded_group(spark):
     """No window of the cut plan sees more than a few chunks of the large group."""
-    from tidetrace.plans.layout import CUTS, _cut
+    from tidetrace.plans.layout import _cut
 
     df, keys = crowded(spark), ("k",)
-    for level in range(CUTS):
+    for level in range(3):
         df = _cut(df, keys, ("ts", "id"), f"_r{level}", 25)
         keys = (*keys, f"_r{level}")
     assert df.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 50
@@ -111,3 +111,17 @@ def test_ordinals_by_other_types(spark, cast):
     assert [r.place for r in got.orderBy("n").collect()] == list(range(300))
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text or "_r0" in text
+
+
+def test_texts_with_a_shared_beginning(spark):
+    """Times as texts, all of one day: ranges are of what comes after the day."""
+    from tidetrace.plans.layout import _cut
+
+    df = spark.range(1000).selectExpr("1L as k", "cast(timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, id, 0) as string) as o", "id")
+    df = df.unionByName(spark.createDataFrame([(1, None, 5000), (2, "x", 5001)], "k long, o string, id long"))
+    cut = _cut(_cut(df, ("k",), ("o",), "a", 100), ("k", "a"), ("o",), "b", 100)
+    assert cut.groupBy("k", "a", "b").count().agg(F.max("count")).first()[0] <= 100
+    got = ordinals(df, ("k",), ("o", "id"), "n", chunk=100)
+    assert sorted_rows(got) == sorted_rows(ordinals(df, ("k",), ("o", "id"), "n"))
+    same = spark.range(300).selectExpr("1L as k", "'same' as o", "encode(lpad(cast(id as string), 4, '0'), 'utf-8') as id")
+    assert sorted(r.n for r in ordinals(same, ("k",), ("o", "id"), "n", chunk=50).collect()) == list(range(300))

@@ -12,24 +12,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetrace.functions.physics import TwoState
-from tidetrace.plans.layout import SIGNALS, Layout, position, with_rows
+from tidetrace.plans.layout import SIGNALS, Layout, with_rows
+from tidetrace.session import settle
 
 BATCH_ROWS = 128
 ID_BLOCK = 1 << 16
 
 
+def id_blocks(sizes: DataFrame, key: str) -> DataFrame:
+    """``sizes`` with ``_block``: ranges of about ``ID_BLOCK`` ids in order, numbered from 0, for ids of any type that has an order.
+
+    Ranges are between quantiles of a sample that Spark draws, so they hold numbers of ids alike whatever the ids look like. The
+    rows are kept with their range in the shared folder: a second sample could draw other ranges.
+    """
+    kept = settle(sizes)
+    blocks = max(1, -(-kept.count() // ID_BLOCK))
+    return settle(kept.repartitionByRange(blocks, key).withColumn("_block", F.spark_partition_id()))
+
+
 def series_offsets(sizes: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
     """Per series, what to add to a tick to get the row number over all series in id order.
 
-    ``sizes`` has ``length`` and ``first_tick`` per series. Ids may be sparse, or texts. Their range is cut into blocks of
-    about ``ID_BLOCK`` series; the lengths are summed block by block, so no task sees all series.
+    ``sizes`` has ``length`` and ``first_tick`` per series, and is computed once. Lengths are summed in blocks of ids, then over
+    the blocks' totals, so no task sees all series.
     """
     (key,) = layout.keys
-    place = position(sizes, key)
-    span = sizes.agg(F.struct(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"))).scalar()
-    blocks = F.ceil(span["n"] / F.lit(ID_BLOCK))
-    share = F.coalesce(F.try_divide(place - span["lo"], span["hi"] - span["lo"]), F.lit(0.0))
-    blocked = sizes.withColumn("_block", F.floor(F.least(share * blocks, blocks - 1)))
+    blocked = id_blocks(sizes, key)
     earlier = Window.partitionBy().orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy("_block").agg(F.sum("length").alias("_sum"))
     starts = totals.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 CHUNK_TICKS = 1 << 22
 HOT_GROUPS = 100_000
-CUTS = 3
 
 _CHUNK = "_chunk"
 _ROW = "_row"
@@ -172,7 +171,7 @@ def ordinals(
 
     Groups above ``chunk`` rows are cut into ranges of the order columns. Each range is numbered alone, and the number of
     rows in the earlier ranges of the group is added. Ranges that turn out too large, because values crowd in them, are
-    cut again, up to ``CUTS`` times in all. What is broadcast has one row per oversized group or per range of one; the
+    cut again, as long as that makes the largest one smaller. What is broadcast has one row per oversized group or per range of one; the
     threshold keeps that near ``HOT_GROUPS`` whatever the size of the table. ``group_size`` names a column for the rows of
     the group.
     """
@@ -184,8 +183,12 @@ def ordinals(
 
     limit = max(chunk, total // HOT_GROUPS)
     cut, ranges = df, []
-    while len(ranges) < CUTS and (not ranges or measure(cut, (*keys, *ranges)).longest > limit):
-        cut = _cut(cut, (*keys, *ranges), order, f"_r{len(ranges)}", limit)
+    while longest > limit:
+        tried = _cut(cut, (*keys, *ranges), order, f"_r{len(ranges)}", limit)
+        left = measure(tried, (*keys, *ranges, f"_r{len(ranges)}")).longest
+        if left >= longest and ranges:
+            break  # rows that are equal in all columns with a place on a line
+        cut, longest = tried, left
         ranges.append(f"_r{len(ranges)}")
 
     earlier = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
@@ -219,6 +222,13 @@ _POSITION = {
 }
 
 
+def _shared(low: Column, high: Column) -> Column:
+    """How many characters the beginnings of two texts share; all texts that sort between them share those too."""
+    most = F.coalesce(F.least(F.length(low), F.length(high)), F.lit(0))
+    equal = F.filter(F.sequence(F.lit(0), most), lambda k: F.left(low, k) == F.left(high, k))
+    return F.coalesce(F.array_max(equal), F.lit(0))
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column].split("(")[0]
 
@@ -233,20 +243,28 @@ def _cut(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], out: str,
     """Number equal ranges within each group of more than ``limit`` rows; 0 in all other groups.
 
     The ranges are of the first order column that is not constant in the group. Only the leading columns that have a
-    position on a line are considered.
+    position on a line are considered. The place of a text is that of the bytes after the beginning that all texts of its
+    group share.
     """
     usable = list(takewhile(lambda c: _kind(df, c) in _POSITION, order))
     places = {c: position(df, c) for c in usable}
+    texts = [c for c in usable if _kind(df, c) == "string"]
     stats = [F.count("*").alias("_n")]
     for c in usable:
         mixed = (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
         stats += [
             F.coalesce(mixed, F.lit(False)).alias(f"_varies_{c}"),
-            F.min(places[c]).alias(f"_lo_{c}"),
-            F.max(places[c]).alias(f"_hi_{c}"),
+            F.min(c if c in texts else places[c]).alias(f"_lo_{c}"),
+            F.max(c if c in texts else places[c]).alias(f"_hi_{c}"),
         ]
     any_varies = reduce(Column.__or__, [F.col(f"_varies_{c}") for c in usable])
     big = df.groupBy(*keys).agg(*stats).where((F.col("_n") > limit) & any_varies)
+    for c in texts:
+        big = big.withColumn(f"_shared_{c}", _shared(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
+        after = lambda text, n=f"_shared_{c}": _first_bytes(F.substr(text, F.col(n) + 1))
+        big = big.withColumns({f"_{end}_{c}": after(F.col(f"_{end}_{c}")) for end in ("lo", "hi")})
+        # a null comes before all texts
+        places[c] = F.when(F.col(c).isNull(), F.col(f"_lo_{c}")).otherwise(after(F.col(c)))
     parts = F.ceil(2 * F.col("_n") / limit)
     place = F.lit(0).cast("bigint")
     for c in reversed(usable):
