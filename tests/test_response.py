@@ -64,3 +64,22 @@ def test_step_fill(spark, layout, monkeypatch):
     assert sorted((r["sample_id"], r["time"], r["volt"]) for r in got.collect()) == held
     back = response.change_points(got, "volt", layout)
     assert sorted(tuple(r) for r in back.collect()) == sorted(points)
+
+
+@pytest.mark.parametrize("steepness", [0.01, 5.0, 400.0])
+def test_long_series_in_blocks(spark, steepness):
+    """One series of 100,000 change points, from levels that never get near their targets to such that always reach them."""
+    draw = random.Random(8)
+    points, tick = [], 0
+    for i in range(100_000):
+        points.append((1, tick, draw.choice([0.0, 1.0, 2.0, 3.5, 5.0]) if i % 1000 else 5.0))
+        tick += draw.randint(1, 3)
+    df = spark.createDataFrame(points, "sample_id bigint, time bigint, volt double")
+    sizes = spark.createDataFrame([(1, tick)], "sample_id bigint, length bigint")
+    got = response.expected_levels(df, sizes, "volt", steepness, Layout(chunk=4096)).orderBy("time").collect()
+    level, expected = 40 * points[0][2] ** 2, []
+    for (_, start, value), end in zip(points, [p[1] for p in points[1:]] + [tick]):
+        expected.append(level)
+        target, reach = 40 * value**2, steepness * (end - start - 1)
+        level = max(min(target, level + reach), level - reach)
+    assert [r["start_level"] for r in got] == pytest.approx(expected)

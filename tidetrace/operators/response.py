@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,9 @@ from tidetrace.plans.layout import SIGNALS, Layout, next_tick, windowed
 from tidetrace.session import settle
 
 PIECE_TICKS = 1 << 16
-BLOCK_TICKS = 1 << 12
+BLOCK_TICKS = 1 << 8
+#: Blocks that take their steps together.
+BLOCKS_AT_ONCE = 1 << 10
 
 
 def change_points(df: DataFrame, column: str, layout: Layout = SIGNALS) -> DataFrame:
@@ -61,63 +62,54 @@ def step_fill(points: DataFrame, lengths: DataFrame, column: str, layout: Layout
     return fill_segments(segments.withColumnRenamed(layout.tick, "_start"), "_start", F.col(column), column, layout)
 
 
-def _carry(rows: DataFrame, group: tuple[str, ...], tick: str, opens: str) -> DataFrame:
-    """Add ``start_level``: walk through each group in tick order from the level in ``opens`` of its first row.
+def _knots(targets: np.ndarray, reaches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entry levels, sorted, and the levels they lead to, of blocks of steps: a row of ``targets`` and ``reaches`` per block.
 
-    Rows stream through a task one Arrow batch at a time; only the level is carried.
+    A step takes an entry level to its target, at most by its reach; what a block does is a monotone function of flat and slope-1
+    pieces. The entries at which the pieces of a step and all later ones meet are those of the later steps, taken back through
+    the step, and the two ends of the step's own flat piece. All blocks take a step at once; a reach of 0 changes nothing.
     """
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level, current = 0.0, None
-        for batch in batches:
-            starts = np.empty(len(batch))
-            names = zip(*[batch[c] for c in group])
-            for i, (name, first, target, reach) in enumerate(zip(names, batch[opens], batch["target"], batch["reach"])):
-                if name != current:
-                    level, current = first, name
-                starts[i] = level
-                gap = target - level
-                level = target if abs(gap) <= reach else level + (reach if gap > 0 else -reach)
-            yield batch.assign(start_level=starts)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("start_level", T.DoubleType())])
-    return rows.repartition(*group).sortWithinPartitions(*group, tick).mapInPandas(walk, schema)
-
-
-def _block_starts(steps: DataFrame, layout: Layout) -> DataFrame:
-    """Level at which each block of a series is entered, with the work of a long series spread over its blocks.
-
-    What a block does to any entry level is a monotone function made of flat and slope-1 pieces. Each block is reduced to
-    the knots of its function, and the functions of a series are applied one after the other. A block of ``BLOCK_TICKS`` has at
-    most two knots a tick, so the work grows with the number of change points.
+    blocks, steps = targets.shape
+    xs = np.empty((blocks, 2 * steps))
+    for j in reversed(range(steps)):
+        t, r, later = targets[:, j, None], reaches[:, j, None], xs[:, 2 * j + 2 :]
+        later += np.sign(later - t) * r
+        xs[:, 2 * j], xs[:, 2 * j + 1] = (t - r)[:, 0], (t + r)[:, 0]
+    xs.sort(axis=1)
+    ys = xs.copy()
+    for j in range(steps):
+        t, r = targets[:, j, None], reaches[:, j, None]
+        ys = np.maximum(np.minimum(t, ys + r), ys - r)
+    return xs, ys
+
+
+def _bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points of a function of flat and slope-1 pieces are needed: the ends, and those where flat and sloped pieces meet."""
+    flat = np.diff(y) < np.diff(x) / 2
+    return np.concatenate([[True], flat[1:] != flat[:-1], [True]])
+
+
+def _block_starts(blocks: DataFrame, layout: Layout) -> DataFrame:
+    """``entry``, the level at which each block of a series is entered.
+
+    ``blocks`` has the ``targets`` and ``reaches`` of a block's steps in lists. Each block is reduced to the bends of its function
+    where it lies, all blocks of a batch at once, and the functions of a series are applied one after the other: of a long
+    series, one task sees a few numbers per block.
     """
     keys, group = list(layout.keys), (*layout.keys, "_block")
 
     def reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, opening, xs, ys = None, 0.0, [], []
-
-        def knots() -> pd.DataFrame:
-            return pd.DataFrame([(*current, opening, xs, ys)], columns=[*group, "opening", "xs", "ys"])
-
         for batch in batches:
-            done = []
-            for name, target, reach in zip(zip(*[batch[c] for c in group]), batch["target"], batch["reach"]):
-                if name != current:
-                    if current is not None:
-                        done.append(knots())
-                    current, opening, xs, ys = name, target, [target], [target]
-                if reach == 0:
-                    continue
-                # Entry levels that arrive within reach end on the target, the others move by the reach.
-                low, high = bisect_left(ys, target - reach), bisect_right(ys, target + reach)
-                x_low = xs[low] - (ys[low] - target + reach) if low < len(xs) else xs[-1] + (target - reach - ys[-1])
-                x_high = xs[high - 1] + (target + reach - ys[high - 1]) if high else xs[0] - (ys[0] - target - reach)
-                xs = xs[:low] + [x_low, x_high] + xs[high:]
-                ys = [y + reach for y in ys[:low]] + [target, target] + [y - reach for y in ys[high:]]
-            if done:
-                yield pd.concat(done)
-        if current is not None:
-            yield knots()
+            for start in range(0, len(batch), BLOCKS_AT_ONCE):
+                some = batch.iloc[start : start + BLOCKS_AT_ONCE]
+                sizes = some["targets"].map(len).to_numpy()
+                held = np.arange(sizes.max()) < sizes[:, None]
+                targets, reaches = np.zeros(held.shape), np.zeros(held.shape)
+                targets[held], reaches[held] = np.concatenate(some["targets"].to_list()), np.concatenate(some["reaches"].to_list())
+                functions = [(x[bend], y[bend]) for x, y in zip(*_knots(targets, reaches)) for bend in [_bends(x, y)]]
+                yield some[list(group)].assign(
+                    opening=targets[:, 0], xs=[x for x, _ in functions], ys=[y for _, y in functions]
+                )
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, current = 0.0, None
@@ -135,16 +127,11 @@ def _block_starts(steps: DataFrame, layout: Layout) -> DataFrame:
                     level = float(np.interp(level, xs, ys))
             yield batch[list(group)].assign(entry=entries)
 
-    ids = [steps.schema[c] for c in group]
+    ids = [blocks.schema[c] for c in group]
     real, reals = T.DoubleType(), T.ArrayType(T.DoubleType())
     reduced = T.StructType([*ids, T.StructField("opening", real), T.StructField("xs", reals), T.StructField("ys", reals)])
-    blocks = (
-        steps.repartition(*group)
-        .sortWithinPartitions(*group, layout.tick)
-        .select(*group, "target", "reach")
-        .mapInPandas(reduce_blocks, reduced)
-    )
-    ordered = blocks.repartition(*layout.keys).sortWithinPartitions(*group)
+    functions = blocks.select(*group, F.col("steps.target").alias("targets"), F.col("steps.reach").alias("reaches"))
+    ordered = functions.mapInPandas(reduce_blocks, reduced).repartition(*layout.keys).sortWithinPartitions(*group)
     return ordered.mapInPandas(chain, T.StructType([*ids, T.StructField("entry", real)]))
 
 
@@ -153,23 +140,33 @@ def expected_levels(
 ) -> DataFrame:
     """Per segment of the input: resting output (``target``) and output at its first tick (``start_level``).
 
-    Each segment starts where the one before ended, and the first one rests. Series that may exceed a chunk are walked
-    block by block, from entry levels found first.
+    Each segment starts where the one before ended, and the first one rests. Steps are held in blocks of ``BLOCK_TICKS``: the
+    level at which each block is entered is found first, then the blocks are walked on their own, whatever a series' length.
     """
     tick = F.col(layout.tick)
     steps = (
         segments_of(points, lengths, layout)
         .withColumn("target", static_curve(F.col(column).cast("double")))
         .withColumn("reach", F.lit(float(steepness)) * (F.col("end_tick") - tick - 1))
+        .withColumn("_block", F.floor(tick / min(layout.chunk, BLOCK_TICKS)).cast("bigint"))
     )
+    group = [*layout.keys, "_block"]
+    step = F.struct(layout.tick, "end_tick", column, "target", "reach")
+    blocks = steps.groupBy(*group).agg(F.sort_array(F.collect_list(step)).alias("steps"))
     if layout.split:
-        # The change points are read twice, and are far fewer than the ticks they come from.
-        steps = settle(steps.withColumn("_block", F.floor(tick / min(layout.chunk, BLOCK_TICKS)).cast("bigint")))
-        group = (*layout.keys, "_block")
-        walked = _carry(steps.join(_block_starts(steps, layout), [*group]), group, layout.tick, "entry")
-    else:
-        walked = _carry(steps, layout.keys, layout.tick, "target")
-    return walked.select(*layout.keys, layout.tick, "end_tick", column, "target", "start_level")
+        blocks = settle(blocks)
+    none = F.array().cast("array<double>")
+
+    def advance(state: Column, step: Column) -> Column:
+        level = F.greatest(F.least(step.target, state.level + step.reach), state.level - step.reach)
+        return F.struct(level.alias("level"), F.array_append(state.levels, state.level).alias("levels"))
+
+    walked = blocks.join(_block_starts(blocks, layout), group).withColumn(
+        "levels", F.aggregate("steps", F.struct(F.col("entry").alias("level"), none.alias("levels")), advance)["levels"]
+    )
+    walked = walked.select(*layout.keys, F.explode(F.arrays_zip("steps", "levels")).alias("s"))
+    names = (layout.tick, "end_tick", column, "target")
+    return walked.select(*layout.keys, *[F.col(f"s.steps.{c}").alias(c) for c in names], F.col("s.levels").alias("start_level"))
 
 
 def expected_response(
