@@ -42,6 +42,41 @@ def test_trimmed(spark, n, chunk):
     assert got["rmse_std"] == pytest.approx(round(statistics.pstdev(kept), 3), abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [1, 50])
+def test_trimmed_by_bounds_equals_ranking(spark, limit):
+    """Groups with nulls, NaN, infinities, ties, one value and far values, by histograms and by ranks."""
+    draw = random.Random(limit)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e308, -1e308, 5e-324]
+    groups = {
+        "a": [draw.gauss(0, 1) for _ in range(300)],
+        "b": [draw.choice([1.0, 1.5, 2.0]) for _ in range(120)],
+        "c": [7.25] * 60,
+        "d": [10.0 ** draw.randint(-300, 6) for _ in range(200)] + [None] * 3,
+        "e": [None] * 8 + [draw.random() for _ in range(80)] + [float("nan")] * 4,
+        "f": [None] * 90 + [1.0],
+        "g": [draw.random() for _ in range(100)] + [float("inf")] * 3 + [float("-inf")] * 3,
+        "h": odd[:1] + [2.0],
+    }
+    rows = [(k, i, v) for k, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "split string, sample_id bigint, rmse double")
+    got, expected = (
+        {r["split"]: (r["rmse_mean"], r["rmse_std"]) for r in scores.trimmed_rmse(df, chunk=c).collect()} for c in (limit, 1 << 20)
+    )
+    assert got.keys() == expected.keys() == groups.keys()
+    for k in groups:
+        assert got[k] == pytest.approx(expected[k], abs=0.0011, nan_ok=True), k
+
+
+def test_values_at_any_rank(spark):
+    """Ranks all over a group of magnitudes from 1e-300 to 1e300, found by dividing bins."""
+    draw = random.Random(5)
+    values = sorted(draw.choice([-1, 1]) * 10.0 ** draw.uniform(-300, 300) for _ in range(500))
+    df = spark.createDataFrame([("a", v) for v in values], "split string, _v double")
+    ranks = spark.createDataFrame([("a", str(k), k) for k in range(0, 500, 7)], "split string, _side string, _rank bigint")
+    got = {int(r["_side"]): (r["_v"], r["_before"], r["_size"]) for r in scores.values_at(df, ("split",), ranks, 3).collect()}
+    assert got == {k: (values[k], k, 1) for k in range(0, 500, 7)}
+
+
 def test_rounding_is_half_even(spark):
     df = spark.createDataFrame([("a", 0.0625)], "split string, rmse double")
     assert scores.rmse_summary(df).first()["rmse_mean"] == 0.062
@@ -84,6 +119,16 @@ def test_nesting_round_trip(spark):
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
 
 
+def test_long_series_are_nested_in_parts(spark):
+    """A series of any length is stored in rows of bounded size, without being asked for; the index has one row for it."""
+    df = spark.range(300_000).selectExpr("1L as sample_id", "id as time", "id / 2 as y_true", "id / 4 as y_pred")
+    nested = experiments.nest_predictions(df)
+    assert nested.selectExpr("max(size(`true`))", "count(*)").first()[:] == (1 << 16, 5)
+    index = experiments.nested_series(nested).first()
+    assert (index["n"], index["first_tick"], index["parts"]) == (300_000, 0, 5)
+    assert experiments.explode_true_pred(nested).exceptAll(df.selectExpr("sample_id", "time", "y_true", "y_pred")).isEmpty()
+
+
 def test_result_wins_on_shared_columns(spark):
     config = spark.createDataFrame([("a", 1, "c"), ("b", 2, "c"), ("d", 3, "c")], "folder string, seed int, origin string")
     result = spark.createDataFrame([("a", 0.5, "r"), ("b", 0.6, None)], "folder string, rmse double, origin string")

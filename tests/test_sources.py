@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidetrace.functions.physics import TwoState
+from tidetrace.operators.consistency import metric_of, metric_state, tgds_metric
 from tidetrace.functions.text import json_merge, parse_duration, path_tail, series_number
 from tidetrace.sources import results, signals
 from tidetrace.plans.layout import Layout
@@ -21,6 +24,59 @@ def test_series_files(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("sent", [0, 100])
+def test_headers_that_drift(spark, tmp_path, monkeypatch, sent):
+    """Each file is read by its own header: other columns, another order, blanks, a header alone, no line at all."""
+    monkeypatch.setattr(signals, "SENT_FILES", sent)
+    texts = {
+        "experiment_4_short.csv": "time|input_voltage|el_power|th_power|spinning_soll\n0|1.5|2.5|9|9\n1|1.75||9|9\n",
+        "deep/experiment_22_short.csv": "spinning_ist|el_power|time| input_voltage \n9|3.5|7|4.5\n9|x|8| 5.5\n",
+        "experiment_9_short.csv": "time|el_power\n3|0.5\n",
+        "experiment_20_short.csv": "time|input_voltage|el_power\n",
+        "experiment_21_short.csv": "",
+    }
+    (tmp_path / "deep").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = signals.read_by_header(spark, str(tmp_path), "time BIGINT, input_voltage DOUBLE, el_power DOUBLE", glob="*.csv")
+    assert got.columns == ["sample_id", "time", "input_voltage", "el_power"]
+    expected = [(4, 0, 1.5, 2.5), (4, 1, 1.75, None), (22, 7, 4.5, 3.5), (22, 8, 5.5, None), (9, 3, None, 0.5)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
+def test_header_of_a_file_in_many_splits(spark, tmp_path):
+    """Only the first line of a file is its header, wherever splits begin."""
+    lines = "".join(f"{i}|{i}.5\n" for i in range(60_000))
+    (tmp_path / "sample_1.csv").write_text("time|el_power\n" + lines)
+    (tmp_path / "sample_2.csv").write_text("el_power|time\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        got = signals.read_by_header(spark, str(tmp_path), "time DOUBLE, el_power DOUBLE")
+        assert got.rdd.getNumPartitions() > 10
+        sums = {r[0]: r[1:] for r in got.groupBy("sample_id").agg(F.count("*"), F.sum("time"), F.sum("el_power")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = 60_000 * 59_999 / 2
+    assert sums == {1: (60_000, whole, whole + 30_000), 2: (60_000, whole + 30_000, whole)}
+
+
+def test_metric_by_day(spark, tmp_path):
+    """Stored halves give what one run gives; a day that is stored again replaces itself; a reset moves the first day."""
+    rule = TwoState(steepness=0.5, tolerance=0.1, theta=10.0, ratio=0.6)
+    rows = [(b // 3, b, i, float(b * i % 7), abs(b - i) / 3 if i else None) for b in range(9) for i in range(5)]
+    steps = spark.createDataFrame(rows, "day bigint, batch_no bigint, row_no bigint, y_pred double, d double")
+    state = lambda where: metric_state(steps.where(where), rule, ("day", "batch_no"), ("day",))
+    path = f"{tmp_path}/metric"
+    schema = state("true").schema
+    read = lambda since=None: tuple(metric_of(results.read_metric(spark, path, schema, since), rule).first())
+    assert read() == (0.0, 0, 0.0)
+    for where in ("day = 0", "day > 0", "day = 1"):
+        results.store_metric(state(where), path, "day")
+    assert read() == pytest.approx(tuple(tgds_metric(steps, rule).first()))
+    assert read(F.col("day") >= 2) == pytest.approx(tuple(tgds_metric(steps.where("day = 2"), rule).first()))
+
+
 def test_series_of_the_synthetic_kind(spark, tmp_path):
     for i in (0, 2, 10):
         (tmp_path / f"sample_{i}.csv").write_text(f"el_power|time|input_voltage\n{i}.5|0|1.0\n")

@@ -120,10 +120,13 @@ def tgds_loss_by_batch(df: DataFrame, rule: TwoState, batch: tuple[str, ...] = (
     return parts.withColumn("tgds", tgds).withColumn("loss", rule.combine(F.col("mse"), F.col("tgds")))
 
 
-def tgds_metric(
+def metric_state(
     df: DataFrame, rule: TwoState, batch: tuple[str, ...] = ("batch_no",), keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Accumulated two-state metric, per ``keys`` (columns of ``batch``) or overall. Needs ``d``."""
+    """``total`` and ``steps`` of the two-state metric, per ``keys`` (columns of ``batch``) or overall. Needs ``d``.
+
+    States of different batches add up: ``metric_of`` takes the union of any of them.
+    """
     zero = F.lit(0.0)
     sums = df.groupBy(*batch).agg(
         F.greatest(F.count("*") - 1, F.lit(1)).alias("steps"),
@@ -131,9 +134,14 @@ def tgds_metric(
         _over_steps(rule.static_error(F.col("d")), rule.static_error(zero), F.sum).alias("still"),
     )
     best = F.least(F.lit(rule.alpha) * F.col("moving"), F.lit(rule.beta) * F.col("still"))
+    return sums.groupBy(*keys).agg(F.sum(best).alias("total"), F.sum("steps").alias("steps"))
+
+
+def metric_of(states: DataFrame, rule: TwoState, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The metric of all batches whose states are given. No state at all gives 0, as does a reset one."""
     return (
-        sums.groupBy(*keys)
-        .agg(F.sum(best).alias("total"), F.sum("steps").alias("steps"))
+        states.groupBy(*keys)
+        .agg(F.sum("total").alias("total"), F.sum("steps").alias("steps"))
         .select(
             *keys,
             F.coalesce("total", F.lit(0.0)).alias("total"),
@@ -145,6 +153,13 @@ def tgds_metric(
     )
 
 
+def tgds_metric(
+    df: DataFrame, rule: TwoState, batch: tuple[str, ...] = ("batch_no",), keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Accumulated two-state metric, per ``keys`` (columns of ``batch``) or overall. Needs ``d``."""
+    return metric_of(metric_state(df, rule, batch, keys), rule, keys)
+
+
 def tgds_sweep(df: DataFrame, rules: Iterable[TwoState], batch: tuple[str, ...] = ("batch_no",)) -> DataFrame:
     """Loss over all batches, weighted by their rows, for many parameter settings from one pass over the steps.
 

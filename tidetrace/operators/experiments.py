@@ -9,6 +9,8 @@ from tidetrace.functions.physics import TwoState
 from tidetrace.functions.scaling import scale_steepness
 from tidetrace.plans.layout import SIGNALS, Layout
 
+#: Ticks of a row of nested predictions, for series that may not fit in one.
+PART_TICKS = 1 << 16
 # Fixed values of the published experiment grid.
 STEEPNESS = 6.388
 RUNS = 5
@@ -96,11 +98,13 @@ def project_results(df: DataFrame) -> DataFrame:
 
 
 def nest_predictions(df: DataFrame, layout: Layout = SIGNALS, part_ticks: int | None = None) -> DataFrame:
-    """Ordered ``true`` and ``pred`` lists, one row per series.
+    """Ordered ``true`` and ``pred`` lists, one row per series, or per part of one.
 
-    Given ``part_ticks``, a series has a row for each of its parts of so many ticks instead, so that one that is too long for
-    a row can be stored. ``part`` counts them.
+    ``part`` counts the parts, ranges of ``part_ticks`` ticks. Series known to fit in a chunk are whole by default; others come
+    in parts of ``PART_TICKS``, so that no task or row ever holds a series. ``nested_series`` lists the parts of each.
     """
+    if part_ticks is None and layout.split:
+        part_ticks = min(layout.chunk, PART_TICKS)
     entry = F.struct(layout.tick, "y_true", "y_pred")
     part = F.floor(F.col(layout.tick) / part_ticks).cast("bigint") if part_ticks else F.lit(0).cast("bigint")
     return (
@@ -116,6 +120,14 @@ def nest_predictions(df: DataFrame, layout: Layout = SIGNALS, part_ticks: int |
     )
 
 
+def nested_series(nested: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
+    """One row per series of nested predictions: ``n`` rows, ``first_tick``, and ``parts``, the number of rows it is stored in. The
+    lists themselves aren't read, only their sizes."""
+    return nested.groupBy(*layout.keys).agg(
+        F.sum(F.size("true")).alias("n"), F.min(layout.tick).alias("first_tick"), F.count("*").alias("parts")
+    )
+
+
 def explode_true_pred(df: DataFrame, layout: Layout = SIGNALS) -> DataFrame:
     """Nested predictions back to one row per tick. Ticks of a part are consecutive from its first."""
     rows = df.select(*layout.keys, layout.tick, F.posexplode(F.arrays_zip("true", "pred")).alias("i", "z"))

@@ -557,3 +557,4 @@ SELECT CAST(1 AS BIGINT) AS run_id, arg_min(epoch, (val_loss, epoch)) AS best_ep
        min(epoch) FILTER (WHERE waited >= 1) AS stop_epoch, max(epoch) AS last_epoch FROM waits""",
 }
 ORACLE["write_true_pred_text"] = ORACLE["write_true_pred"]
+ORACLE["tgds_metric_by_day"] = ORACLE["tgds_metric"]

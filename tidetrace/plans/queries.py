@@ -13,7 +13,7 @@ from tidetrace.functions.physics import TwoState
 from tidetrace.operators import consistency, experiments, features, history, models, response, scores, segments, splits
 from tidetrace.plans import views
 from tidetrace.plans.layout import Size
-from tidetrace.session import scratch_path
+from tidetrace.session import scratch_path, settle
 from tidetrace.sources import results as result_files
 from tidetrace.sources import signals as files
 from tidetrace.streaming import consistency as live
@@ -87,12 +87,15 @@ def sample_id_from_path(spark, sf_dir):
 def harmonize_columns(spark, sf_dir):
     rows, _ = views.signals(spark, sf_dir)
     rows = rows.select("sample_id", "time", "input_voltage", "el_power", F.lit(0.0).alias("th_power"))
-    odd = F.col("sample_id") % 2 == 1
-    variants = [
-        rows.where(odd).withColumn("spinning_soll", F.col("input_voltage")),
-        rows.where(~odd).withColumn("spinning_ist", F.col("el_power")),
-    ]
-    return features.harmonize_columns(features.union_samples(variants))
+    odd, path = F.col("sample_id") % 2 == 1, scratch_path(spark, "experiments")
+    variants = {
+        "a": rows.where(odd).withColumn("spinning_soll", F.col("input_voltage")),
+        "b": rows.where(~odd).select("el_power", F.col("el_power").alias("spinning_ist"), "th_power", "time", "input_voltage", "sample_id"),
+    }
+    for folder, variant in variants.items():
+        files.write_table(variant, f"{path}/{folder}", sep="|")
+    found = files.read_by_header(spark, path, "sample_id BIGINT, " + SIGNAL_COLUMNS + ", th_power DOUBLE", glob="*.csv")
+    return features.harmonize_columns(found)
 
 
 @query
@@ -450,6 +453,17 @@ def tgds_metric(spark, sf_dir):
     return _rounded(consistency.tgds_metric(_steps(spark, sf_dir), METRIC_RULE), "total", "loss_tgds")
 
 
+@query
+def tgds_metric_by_day(spark, sf_dir):
+    """The metric from stored parts: one of each 64 batches, the last of them stored twice."""
+    path = scratch_path(spark, "metric")
+    steps = _steps(spark, sf_dir).withColumn("day", F.floor(F.col("batch_no") / 64))
+    days = settle(consistency.metric_state(steps, METRIC_RULE, ("day", "batch_no"), ("day",)))
+    result_files.store_metric(days, path, "day")
+    result_files.store_metric(days.where(F.col("day") == days.agg(F.max("day")).scalar()), path, "day")
+    return _rounded(consistency.metric_of(result_files.read_metric(spark, path, days.schema), METRIC_RULE), "total", "loss_tgds")
+
+
 @query
 def best_epoch(spark, sf_dir):
     rows, _ = views.history(spark, sf_dir)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +54,21 @@ def scan_results(
     config = read_json_tree(spark, root, config_name, config_schema)
     result = read_json_tree(spark, root, result_name, result_schema)
     return join_config_result(config, result)
+
+
+def store_metric(states: DataFrame, path: str, period: str) -> None:
+    """Keep states in a folder per ``period``, a column such as the day of their batches. Those of a period replace what it had, so
+    a job that is run again adds nothing twice; other periods stay."""
+    states.write.partitionBy(period).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_metric(spark: SparkSession, path: str, schema: T.StructType, since: Column | None = None) -> DataFrame:
+    """Stored states, all or those for which ``since``, a condition on the period, holds: a reset only moves that bound, and
+    folders before it aren't read. A store that nothing was written to has no states."""
+    try:
+        states = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        states = spark.createDataFrame([], schema)
+    return states if since is None else states.where(since)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from tidetrace.functions.text import series_number
 from tidetrace.operators.features import harmonize_columns
 from tidetrace.plans.layout import SIGNALS, Layout
+from tidetrace.session import settle
 
 INFO_SCHEMA = T.StructType(
     [
@@ -48,6 +51,8 @@ RESULT_SCHEMA = T.StructType(
         ],
     ]
 )
+#: Headers of files up to this number (some 50 MB) are sent to all tasks; more are joined by a shuffle.
+SENT_FILES = 100_000
 # Column order of the two variants of the experiment files.
 _LEADING = ("time", "input_voltage", "el_power", "th_power")
 
@@ -81,6 +86,39 @@ def read_experiments(spark: SparkSession, paths_by_extra: dict[str, list[str]])
     return first.withColumn("time", F.col("time").cast("bigint"))
 
 
+def read_by_header(
+    spark: SparkSession, path: str | list[str], columns: str, sep: str = "|", glob: str | None = None
+) -> DataFrame:
+    """Series files whose headers differ, as one table with the columns of the DDL ``columns``, whatever their order in a file.
+
+    Each file's first line is its header. Columns that aren't asked for are left out; those that a file lacks, and values that
+    aren't of the column's type, are NULL there. ``sample_id`` comes from the path unless it is asked for. Files hold no quotes.
+
+    One pass finds the headers, a second reads all files, each line by the header of its file; nothing is brought to the driver
+    but the number of files.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # within the split that begins a file, rows are numbered in the order of its lines
+    begun = lines.where("start = 0").withColumn("line", F.monotonically_increasing_id())
+    headers = settle(begun.groupBy("file").agg(F.min_by("value", "line").alias("header")))
+    cut = lambda line: F.transform(F.split(line, re.escape(sep)), lambda x: F.trim(x))
+    wanted = T.StructType.fromDDL(columns)
+    headers = headers.withColumn("names", cut("header"))
+    place = lambda name: F.nullif(F.array_position("names", name), F.lit(0)).cast("int").alias(name)
+    headers = headers.select("file", "header", F.struct(*[place(f.name) for f in wanted]).alias("place"))
+    few = headers.count() <= SENT_FILES
+    rows = lines.drop("start").join(F.broadcast(headers) if few else headers, "file").where("value != header")
+    rows = rows.withColumn("fields", cut("value"))
+    value = lambda f: F.get("fields", F.col("place")[f.name] - 1).try_cast(f.dataType).alias(f.name)
+    found = [value(f) for f in wanted]
+    if "sample_id" not in wanted.names:
+        found.insert(0, series_number(F.col("file")).alias("sample_id"))
+    return rows.select(*found)
+
+
 def write_signals(df: DataFrame, path: str, sep: str = "|", series_per_folder: int = 1000, layout: Layout = SIGNALS) -> None:
     """CSV files in one folder per ``series_per_folder`` ids.
 
