@@ -94,3 +94,21 @@ def test_odd_rows(spark, tmp_path):
     assert fair_queue.mix(fair_queue.sized(table(spark, [], SCHEMA, tmp_path / "b"))).collect() == []
     silent = table(spark, [(1, "", "en", "a", 0), (2, None, None, None, None)], SCHEMA, tmp_path / "c")
     assert {(r.taken, r.target) for r in fair_queue.mix(fair_queue.sized(silent)).collect()} == {(0, 0.0)}
+
+
+def test_equal_rows_spread_over_ranges(spark, monkeypatch):
+    """Rows that are alike in all columns, and rows without words, don't meet in one range."""
+    monkeypatch.setattr(fair_queue, "RANGE_ROWS", 500)
+    nulls = spark.range(10_000).selectExpr("cast(null as bigint) as doc_id", "if(id % 2 = 0, 'a', 'b') as source", "5L as size")
+    empty = spark.range(10_000).selectExpr("id as doc_id", "if(id < 5000, 'a', 'z') as source", "0L as size")
+    docs = nulls.union(empty).union(empty.where("doc_id < 3").selectExpr("doc_id", "'b'", "7L"))
+    queue = fair_queue.queued(docs, (5, 2, 1), 1.0, 3, 7)
+    largest = queue.groupBy("step").count().agg(F.max("count")).first()[0]
+    assert largest < 2000
+    got = fair_queue.mix(docs).groupBy("source_size", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    rows = [(None, "ab"[i % 2], 5) for i in range(10_000)] + [(i, "a" if i < 5000 else "z", 0) for i in range(10_000)]
+    rows += [(i, "b", 7) for i in range(3)]
+    expected, _ = mix(rows)
+    assert sum(r.n for r in got) == len(rows)
+    assert sum(r.taken for r in got) == sum(t for *_, t in expected)
+    assert {(r["size"]): r.taken for r in got if r["size"] == 7} == {7: sum(t for _, _, n, t in expected if n == 7)}

@@ -80,6 +80,18 @@ def test_faults(spark, tmp_path):
         warc.read_pages(spark, f"{tmp_path}/a").collect()
 
 
+def test_segments_are_joined_in_proportion(spark):
+    """A record of 20,000 segments in any order: each byte is copied once, where copies per segment would be 10 GB."""
+    rows = spark.range(20_000).selectExpr(
+        "concat('s', id) as record_id", "if(id = 0, 'response', 'continuation') as record_type", "'u' as uri",
+        "cast(null as string) as refers_to", "cast(null as string) as payload_digest", "'o' as origin_id", "id + 1 as segment",
+        "if(id = 19999, 1000000L, null) as total_length", "cast(repeat(char(65 + id % 26), 50) as binary) as block",
+    )
+    whole = warc.reassemble(rows.select(*warc._RECORDS.names).orderBy(F.rand(1))).first()
+    assert whole.fault is None
+    assert bytes(whole.block) == b"".join(bytes([65 + k % 26]) * 50 for k in range(20_000))
+
+
 def test_chunks():
     assert warc.chunked(b"abcde", 2) == b"2\r\nab\r\n2\r\ncd\r\n1\r\ne\r\n0\r\n\r\n"
     assert warc.unchunked(b"2;x=1\r\nab\r\n0\r\nTrailer: t\r\n\r\n") == b"ab"

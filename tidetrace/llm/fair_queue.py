@@ -77,26 +77,41 @@ def queued(documents: DataFrame, weights: Sequence[int], budget: float, passes:
     targets = written(source_targets(kept, weights, budget, passes), "targets")
     rows = kept.count()
 
+    # equal rows queue one behind the other: a row stands for all of them, however many
+    queue = kept.groupBy("line", "turn", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    queue = queue.withColumn("words", F.col("size") * F.col("copies"))
+
     # the place in the source's queue
     ranges = rows // RANGE_ROWS + 1
     among = F.col("turn").cast("double") / (1 << 48)
-    queue = _with_start(kept.withColumn("part", F.floor(among * ranges)), ["line", "part"], "size", "start")
+    queue = _with_start(queue.withColumn("part", F.floor(among * ranges)), ["line", "part"], "words", "start")
     order = Window.partitionBy("line", "part").orderBy("turn", "doc_id", "size")
-    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queue = queue.withColumns({"place": F.row_number().over(order), "upto": F.col("start") + F.sum("size").over(here)})
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"place": F.sum("copies").over(before), "upto": F.sum("words").over(before)}
+    queue = queue.withColumns({k: F.coalesce(v, F.lit(0)) for k, v in sums.items()})
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / RANGE_ROWS)))
+    queue = queue.withColumn("block", block).repartition("line", "turn", "doc_id", "size", "block")
+    low, high = F.col("block") * RANGE_ROWS + 1, F.least(F.col("copies"), (F.col("block") + 1) * RANGE_ROWS)
+    queue = queue.withColumn("copy", F.explode(F.sequence(low, high)))
+    queue = queue.withColumns(
+        {"place": F.col("place") + F.col("copy"), "upto": F.col("start") + F.col("upto") + F.col("copy") * F.col("size")}
+    ).drop("copies", "words", "block", "copy")
     targets = targets.withColumn("line", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
     queue = queue.join(targets, "line")
 
     # a pass more than the target needs: what follows would be later still
-    some = F.col("target") > 0
+    some = (F.col("target") > 0) & (F.col("size") > 0)
     turns = F.when(some, F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))) + 1).otherwise(1)
     queue = queue.withColumn("pass", F.explode(F.sequence(F.lit(1), F.least(F.lit(passes), turns).cast("int"))))
     reached = ((F.col("pass") - 1) * F.col("source_size") + F.col("upto")).cast("double")
     queue = queue.withColumn("finish", F.when(some, reached / F.col("target")).otherwise(F.lit(0.0)))
 
-    # the place in the mix: up to time 1, ranges of equal width hold equal numbers of words
+    # the place in the mix: up to time 1, ranges of equal width hold equal numbers of words; rows without any come before all
+    # others, dealt to ranges of their own
     steps = 2 * rows // RANGE_ROWS + 1
-    queue = queue.withColumn("step", F.floor(F.least(F.col("finish"), F.lit(passes + 1.0)) * steps))
+    dealt = F.lit(-1) - F.pmod(F.xxhash64("line", "part", "place"), F.lit(ranges))
+    at = F.floor(F.least(F.col("finish"), F.lit(passes + 1.0)) * steps)
+    queue = queue.withColumn("step", F.when(some, at).otherwise(dealt))
     queue = _with_start(queue, ["step"], "size", "earlier")
     sort = Window.partitionBy("step").orderBy("finish", "line", "pass", "part", "place")
     upto = sort.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,8 +124,8 @@ def fair_queue(
     """The mix: ``doc_id, source, size, pass, finish, position``, a row for each time a document is taken.
 
     ``documents`` is (doc_id, source, size). The rows with ``position``, the place of the document's last word, up to the
-    budget are the mix; sorted by it they are its order. Null sizes count as 0; documents without words add nothing and pass.
-    A null source is a source of its own. Equal rows queue one behind the other. Ids, sizes and ``seed`` decide every order,
+    budget are the mix; sorted by it they are its order. Null sizes count as 0; documents without words add nothing and pass,
+    once and first. A null source is a source of its own. Equal rows queue one behind the other. Ids, sizes and ``seed`` decide every order,
     so a rerun gives the same mix. Empty input gives an empty mix.
     """
     taken = queued(documents, weights, budget, passes, seed).where("position <= budget")

@@ -204,6 +204,24 @@ def read_records(spark: SparkSession, path: str, batch_bytes: int = 1 << 22) ->
     return files.mapInArrow(parse, _RECORDS)
 
 
+def _joined(records: DataFrame) -> DataFrame:
+    """``records`` with ``block``, their ``blocks`` one after the other, each byte copied once."""
+    at = records.columns.index("blocks")
+    schema = T.StructType([f if f.name != "blocks" else T.StructField("block", T.BinaryType()) for f in records.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                # the blocks of a record lie in a row already
+                row = batch.slice(k, 1)
+                blocks = row.column(at).flatten()
+                columns = list(row.columns)
+                columns[at] = pa.array([b"".join(x.as_buffer() for x in blocks)], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return records.mapInArrow(run, schema)
+
+
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole records: those without a segment number as they are, the others from their segments.
 
@@ -215,13 +233,12 @@ def reassemble(records: DataFrame) -> DataFrame:
     block = F.struct("segment", "block", "total_length", "record_type", "uri", "refers_to", "payload_digest")
     joined = parts.groupBy("origin_id").agg(F.sort_array(F.collect_list(block)).alias("parts"))
     total = F.array_max(F.transform("parts", lambda p: p.total_length))
-    whole = F.expr("aggregate(parts, cast(X'' as binary), (a, p) -> a || p.block)")
+    length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p.block))
     gap = F.exists(F.transform("parts", lambda p, i: p.segment != i + 1), lambda x: x)
-    joined = joined.withColumn("block", whole)
     fault = (
         F.when(gap, F.lit("segments are missing or repeated"))
         .when(total.isNull(), F.lit("the last segment is missing"))
-        .when(F.length("block") != total, F.lit("the length is not the stated one"))
+        .when(length != total, F.lit("the length is not the stated one"))
     )
     head = F.col("parts")[0]
     joined = joined.select(
@@ -233,10 +250,10 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("origin_id"),
         F.lit(None).cast("bigint").alias("segment"),
         total.alias("total_length"),
-        "block",
+        F.col("parts.block").alias("blocks"),
         fault.alias("fault"),
     )
-    return single.unionByName(joined)
+    return single.unionByName(_joined(joined))
 
 
 def decode(records: DataFrame) -> DataFrame:
