@@ -35,6 +35,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of jobs that are over when the driver collects its garbage; do so after a large one."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (Spark ignores the case of names)."""
     taken = {c.lower() for c in df.columns}
