@@ -43,6 +43,31 @@ def test_guided_loss_never_rises(batches, rule):
     assert [h["val_loss"] for h in checked.history] == pytest.approx(losses)
 
 
+def test_it_stops_where_the_gradient_is_small(batches):
+    _, _, df = batches
+    rule = TwoState(0.05, 0.1, theta=0.0)
+    fitted = models.fit_tgds_linear(df, FEATURES, "y", rule, steps=9, tolerance=1e-9)
+    # the first step of least squares is the last
+    assert [h["epoch"] for h in fitted.history] == [1, 2]
+    assert fitted.history[0]["gradient"] > 1e-9 >= fitted.history[1]["gradient"]
+    plain = models.fit_tgds_linear(df, FEATURES, "y", rule, steps=1)
+    assert fitted.weights == plain.weights
+
+
+def test_patience_keeps_the_best_step(batches):
+    """Validated on the outputs turned round, every step away from 0 is worse than the start."""
+    from pyspark.sql import functions as F
+
+    _, _, df = batches
+    against = df.withColumn("y", -F.col("y"))
+    fitted = models.fit_tgds_linear(df, FEATURES, "y", TwoState(0.05, 0.1, 5.0, 0.6), steps=9, validation=against, patience=2)
+    assert [h["epoch"] for h in fitted.history] == [1, 2, 3]
+    assert [*fitted.weights, fitted.intercept] == [0.0, 0.0, 0.0]
+    # a loss that only falls is never waited for
+    free = models.fit_tgds_linear(df, FEATURES, "y", TwoState(0.05, 0.1, theta=0.0), steps=2, patience=2)
+    assert len(free.history) == 2 and free.history[1]["loss"] < free.history[0]["loss"]
+
+
 def test_gradient_matches_differences(batches):
     from pyspark.sql import Window
     from pyspark.sql import functions as F

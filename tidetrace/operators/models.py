@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tidetrace.functions.physics import TwoState
 from tidetrace.functions.scaling import minmax_inverse
 from tidetrace.operators.scores import regression_metrics
+from tidetrace.session import scratch_path
 
 
 def fit_lag_baseline(train: DataFrame, features: list[str], label: str) -> PipelineModel:
@@ -74,13 +74,20 @@ def fit_tgds_linear(
     rule: TwoState,
     steps: int = 10,
     validation: DataFrame | None = None,
+    tolerance: float | None = None,
+    patience: int | None = None,
 ) -> LagModel:
     """Linear lag model for ``mse + theta * min(alpha*static, beta*moving)``, averaged over the rows of all batches.
 
     Needs ``batch_no`` and ``row_no``, in ``validation`` too. Each step is one aggregation that returns the gradient, scaled by
     a fixed bound on the curvature; the bound makes every step lower the loss or leave it. With theta = 0 the first step is
-    least squares. ``history`` has the losses at the start of each step, ``val_`` ones if there is a validation table. They
-    come from the same pass.
+    least squares. ``history`` has the losses at the start of each step, ``val_`` ones if there is a validation table, and
+    ``gradient``, the largest component of the gradient. They come from the same pass.
+
+    With ``tolerance`` the fit ends at a point whose ``gradient`` is no larger; ``steps`` bounds the search. With ``patience``
+    it ends after so many steps in a row without a lower loss (the validation loss where there is a table), and the model is
+    the point of the lowest one, the earliest on ties; a loss of NaN is never the lowest. Rows are read from the shared folder
+    at each step, so that a lost executor costs its tasks only.
     """
     size = len(features)
     window = Window.partitionBy("batch_no").orderBy("row_no")
@@ -100,24 +107,34 @@ def fit_tgds_linear(
     rows = steps_of(batches, False)
     if validation is not None:
         rows = rows.union(steps_of(validation, True))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        data, step = _curvature(rows.where("not held_out"), size)
-        weight = (1 - rule.theta) if rule.normalized else 1.0
-        bound = 2 * weight * data + 2 * rule.theta * max(rule.alpha, rule.beta) * step
-        scale = np.linalg.pinv(bound)
-        point, history = np.zeros(size + 1), []
-        for epoch in range(1, steps + 1):
-            found = {r["held_out"]: r for r in _gradient(rows, size, rule, point).collect()}
-            row = found[False]
-            losses = {"epoch": epoch, **{c: row[c] for c in ("loss", "mse", "tgds")}}
-            if validation is not None:
-                losses |= {f"val_{c}": found[True][c] if True in found else None for c in ("loss", "mse", "tgds")}
-            history.append(losses)
-            point = point - scale @ np.array([row[f"g_{i}"] for i in range(size + 1)])
-        return LagModel(features, [float(w) for w in point[:-1]], float(point[-1]), history)
-    finally:
-        rows.unpersist()
+    path = scratch_path(rows.sparkSession, "steps")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    data, step = _curvature(rows.where("not held_out"), size)
+    weight = (1 - rule.theta) if rule.normalized else 1.0
+    bound = 2 * weight * data + 2 * rule.theta * max(rule.alpha, rule.beta) * step
+    scale = np.linalg.pinv(bound)
+    point, history = np.zeros(size + 1), []
+    lowest, best, waited = float("inf"), point, 0
+    for epoch in range(1, steps + 1):
+        found = {r["held_out"]: r for r in _gradient(rows, size, rule, point).collect()}
+        row = found[False]
+        gradient = np.array([row[f"g_{i}"] for i in range(size + 1)])
+        losses = {"epoch": epoch, **{c: row[c] for c in ("loss", "mse", "tgds")}, "gradient": float(np.abs(gradient).max())}
+        if validation is not None:
+            losses |= {f"val_{c}": found[True][c] if True in found else None for c in ("loss", "mse", "tgds")}
+        history.append(losses)
+        watched = losses["val_loss"] if losses.get("val_loss") is not None else losses["loss"]
+        if watched < lowest:
+            lowest, best, waited = watched, point, 0
+        else:
+            waited += 1
+        if tolerance is not None and losses["gradient"] <= tolerance or patience is not None and waited >= patience:
+            break
+        point = point - scale @ gradient
+    if patience is not None:
+        point = best
+    return LagModel(features, [float(w) for w in point[:-1]], float(point[-1]), history)
 
 
 def _gradient(rows: DataFrame, size: int, rule: TwoState, point: np.ndarray) -> DataFrame:
