@@ -138,7 +138,9 @@ def _iban(value: Column, key: str) -> tuple[Column, Column]:
     checked = lambda made: F.concat(
         country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), made))).cast("string"), 2, "0"), made
     )
-    return _mod97(value) == 1, F.element_at(F.transform(F.array(rest), checked), 1)
+    # 00, 01 and 99 leave the remainder of 97, 98 and 02 but are never written
+    digits = F.substring(value, 3, 2)
+    return (_mod97(value) == 1) & digits.between("02", "98"), F.element_at(F.transform(F.array(rest), checked), 1)
 
 
 def _ip(value: Column, key: str) -> tuple[Column, Column]:
